@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesto.llm import bpe, exact_dedup, html_text, language_id, mixing, sharding, toxicity
+from attesto.llm import bpe, embedding_dedup, exact_dedup, html_text, jaccard_join, language_id, mixing, sharding, substring_dedup, toxicity
 
 
 def held_out(doc_id: Column) -> Column:
@@ -25,11 +25,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language_id.identify(docs, held_out(docs["doc_id"]))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -41,6 +49,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", html_text.extract_main_text(F.col("html")).alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("bigint"))
@@ -61,9 +73,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_language_id": op2_language_id,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_sharding": op4_sharding,
     "op5_bpe": op5_bpe,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_html_text": op7_html_text,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
@@ -71,6 +86,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_jaccard_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+            FROM words, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS r(i)
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+        ), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+        ), reach AS (
+            SELECT doc_id AS x, doc_id AS r FROM documents UNION SELECT e.y, reach.r FROM reach JOIN both_ways e ON e.x = reach.x
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
+        FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(r) AS component_id FROM reach GROUP BY x) c USING (doc_id)
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
