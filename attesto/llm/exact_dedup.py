@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from attesto.llm.scratch import shared_dir, stage
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state store; without preallocation, as there are many small stores.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def text_digest(text: Column) -> Column:
@@ -35,16 +39,17 @@ def fold_into_state(arrivals: DataFrame, state_path: str, max_files: int = 1000)
     folder = source[0].rsplit("/", 1)[0] if source else None
     if folder is None:
         return spark.createDataFrame([], "digest binary, keeper struct<id:bigint,row:bigint,place:string>, group_size bigint")
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", max_files).parquet(folder)
         seen = stream.groupBy("digest").agg(F.max(F.struct("id", "row", "place")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
         run = seen.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_path).trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
-        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = spark.read.format("statestore").load(state_path)
     names = state.schema["value"].dataType.names
     return state.select("key.digest", F.col("value")[names[0]].alias("keeper"), F.col("value")[names[1]].alias("group_size"))
