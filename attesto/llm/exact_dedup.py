@@ -21,6 +21,8 @@ STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Digests (32 bytes each) up to which the repeated ones are broadcast.
+BROADCAST = 200_000
 
 
 def text_digest(text: Column) -> Column:
@@ -70,6 +72,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     groups = stage(fold_into_state(rows, shared_dir(docs.sparkSession, "state")), "groups")
     hot = groups.filter("group_size > 1").select("digest", F.col("keeper.id").alias("keep"))
+    if hot.limit(BROADCAST + 1).count() <= BROADCAST:
+        hot = F.broadcast(hot)  # else a shuffle of all texts
     hits = docs.select(key.alias("digest"), docs[id_col].cast("bigint").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(hot, "digest")
     first = hits.filter(F.col("id").eqNullSafe(F.col("keep"))).groupBy("digest").agg(F.min("text").alias("stays"))
     clash = stage(hits.join(first, "digest").filter("text <> stays").select("digest").distinct(), "clashes")
