@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,10 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesto.llm.scratch import stage
+from attesto.llm.scratch import shared_dir, stage
 
-#: UTF-8 bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 12 << 20
+#: Characters of text after which a chunk ends.
+CHUNK_CHARS = 8 << 20
 
 
 @lru_cache(maxsize=2)
@@ -105,113 +106,161 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return rows.join(texts, "__row", "left").select(F.col("__id").alias(id_col), F.decode(F.unhex(F.coalesce("hex", F.lit(""))), "UTF-8").alias("decoded"))
 
 
+def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative integers below 2**28 in one to four bytes each (seven bits a byte), and where each ends."""
+    v = values.astype(np.uint32)
+    n = 1 + (v >= 1 << 7).astype(np.int64) + (v >= 1 << 14) + (v >= 1 << 21)
+    ends = np.cumsum(n)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    for j in range(int(n.max()) if len(n) else 0):
+        there = n > j
+        out[(ends - n)[there] + j] = ((v[there] >> np.uint32(7 * j)) & np.uint32(127)) | np.where(n[there] > j + 1, 128, 0).astype(np.uint32)
+    return out, ends
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    """The integers of ``pack``."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    ends = np.flatnonzero(b < 128) + 1
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)]
+    out = (b[starts] & 127).astype(np.int64)
+    for j in range(1, int((ends - starts).max()) if len(ends) else 0):
+        there = ends - starts > j
+        out[there] |= (b[starts[there] + j] & 127).astype(np.int64) << (7 * j)
+    return out
+
+
 def _chunks(path: str, buckets: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut_out = specials(path)
-        state: dict = {"ids": [], "numbers": [], "bytes": 0, "index": {}}
-        made = 0
-
-        def flush(task: int) -> pd.DataFrame:
-            index = state["index"]
-            numbers = np.concatenate(state["numbers"]) if state["numbers"] else np.zeros(0, np.int32)
-            used = np.bincount(numbers, minlength=len(index))
-            order = np.argsort(-used, kind="stable")  # frequent words get small numbers, which compress well
-            rank = np.empty(len(index), dtype=np.int32)
-            rank[order] = np.arange(len(index), dtype=np.int32)
-            ranked, ends = rank[numbers], np.cumsum([len(x) for x in state["numbers"]])
-            words = np.array(list(index), dtype=object)[order] if index else np.zeros(0, dtype=object)
-            owner = np.array([hash_of(w) % buckets for w in words], dtype=np.int64)
-            chunk = (task << 32) + made
-            docs = pd.DataFrame({"chunk": chunk, "bucket": -1, "doc_id": pd.array(state["ids"], dtype="Int64"), "numbers": np.split(ranked, ends[:-1]) if len(ends) else [], "words": None})
-            lists = [np.flatnonzero(owner == b).astype(np.int32) for b in np.unique(owner)]
-            parts = pd.DataFrame({"chunk": chunk, "bucket": np.unique(owner), "doc_id": pd.array([None] * len(lists), dtype="Int64"), "numbers": lists, "words": [words[x].tolist() for x in lists]})
-            state.update(ids=[], numbers=[], bytes=0, index={})
-            return pd.concat([docs, parts], ignore_index=True)
+    """Chunks of texts: rows of (chunk, doc_id, numbers of its words), and of (chunk, owner, numbers, words)."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
+        cut_out, task, made = specials(path), TaskContext.get().partitionId(), 0
+        ids, numbers, size, index = [], [], 0, {}
+
+        def flush() -> pd.DataFrame:
+            flat, ends = np.concatenate(numbers), np.cumsum([len(x) for x in numbers])
+            order = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")  # frequent words get small numbers, in fewer bytes
+            rank = np.empty(len(index), dtype=np.int64)
+            rank[order] = np.arange(len(index))
+            packed, at = pack(rank[flat])
+            cuts = np.concatenate(([0], at))[ends]
+            raw, low = packed.tobytes(), 0
+            texts = []
+            for high in cuts.tolist():
+                texts.append(raw[low:high])
+                low = high
+            rows = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "bucket": -1, "numbers": texts})
+            words = list(index)
+            owner = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), dtype=np.int64, count=len(words))[order]
+            lists = [np.flatnonzero(owner == b) for b in np.unique(owner)]
+            held = [[words[i] for i in order[x].tolist()] for x in lists]
+            parts = pd.DataFrame({
+                "doc_id": pd.array([None] * len(lists), dtype="Int64"), "bucket": np.unique(owner), "numbers": [pack(x)[0].tobytes() for x in lists],
+                "sizes": [pack(np.array([len(w) for w in ws]))[0].tobytes() for ws in held], "words": ["".join(ws) for ws in held],
+            })
+            return pd.concat([rows, parts], ignore_index=True).assign(chunk=(task << 32) + made)[["chunk", "bucket", "doc_id", "numbers", "sizes", "words"]].astype(object).where(lambda x: x.notna(), None)
+
         for frame in frames:
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 text = text if isinstance(text, str) else ""
-                index = state["index"]
-                state["numbers"].append(np.array([index.setdefault(w, len(index)) for w in words_of(text, cut_out)], dtype=np.int32))
-                state["ids"].append(None if pd.isna(doc_id) else int(doc_id))
-                state["bytes"] += len(text)
-                if state["bytes"] >= CHUNK_BYTES:
-                    yield flush(task)
+                words = words_of(text, cut_out)
+                numbers.append(np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int64, count=len(words)))
+                ids.append(None if pd.isna(doc_id) else int(doc_id))
+                size += len(text)
+                if size >= CHUNK_CHARS:
+                    yield flush()
+                    ids, numbers, size, index = [], [], 0, {}
                     made += 1
-        if state["ids"]:
-            yield flush(task)
+        if ids:
+            yield flush()
 
     return run
 
 
-def hash_of(word: str) -> int:
-    """A hash of a word that is the same in every process."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-
 def _encode_once(path: str):
+    """Encodes the words of a task's buckets, each distinct one once."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, known = tokenizer(path), {}  # the distinct words of this task's buckets
+        found, known = tokenizer(path), {}
         for frame in frames:
-            fresh = list({w for words in frame["words"] for w in words} - known.keys())
-            for low in range(0, len(fresh), 50_000):
-                part = fresh[low : low + 50_000]
-                known.update(zip(part, (np.array(x.ids, dtype=np.int32) for x in found.encode_batch(part, add_special_tokens=False)), strict=True))
-            out = [[known[w] for w in words] for words in frame["words"]]
-            yield pd.DataFrame({"chunk": frame["chunk"], "numbers": frame["numbers"], "lengths": [np.array([len(x) for x in row], dtype=np.int32) for row in out], "ids": [np.concatenate(row) for row in out]})
+            lists = []
+            for text, sizes in zip(frame["words"], frame["sizes"], strict=True):
+                ends = np.cumsum(unpack(sizes)).tolist()
+                lists.append([text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+            fresh = list({w for words in lists for w in words} - known.keys())
+            for low in range(0, len(fresh), 20_000):
+                part = fresh[low : low + 20_000]
+                known.update(zip(part, (x.ids for x in found.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            out = [[known[w] for w in words] for words in lists]
+            yield pd.DataFrame({
+                "chunk": frame["chunk"], "numbers": frame["numbers"], "lengths": [pack(np.array([len(x) for x in row]))[0].tobytes() for row in out],
+                "ids": [pack(np.array([i for x in row for i in x]))[0].tobytes() for row in out],
+            })
 
     return run
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions ``starts[i]`` to ``starts[i] + lengths[i]``, one run after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
 def _lay_out(make):
-    """For each chunk, the ids of its texts by position; ``make`` turns (doc_id, ids) pairs into a frame."""
+    """For each chunk, the ids of its texts by position; ``make`` turns (doc ids, ids of all, ends) into a frame."""
 
     def run(key, docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        size = sum(map(len, parts["numbers"]))
-        lengths, where = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-        flat, base = [], 0
-        for numbers, length, ids in zip(parts["numbers"], parts["lengths"], parts["ids"], strict=True):
-            lengths[numbers] = length
-            where[numbers] = base + np.cumsum(length) - length
-            base += len(ids)
-            flat.append(ids)
-        pool = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
-        rows = []
-        for doc_id, numbers in zip(docs["doc_id"], docs["numbers"], strict=True):
-            n = lengths[numbers]
-            total = int(n.sum())
-            step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-            rows.append((None if pd.isna(doc_id) else int(doc_id), pool[np.repeat(where[numbers], n) + step]))
-        return make(rows)
+        numbers = [unpack(x) for x in parts["numbers"]]
+        size = sum(map(len, numbers))
+        lengths, where, base, flat = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), 0, []
+        for at, packed, ids in zip(numbers, parts["lengths"], parts["ids"], strict=True):
+            length = unpack(packed)
+            lengths[at] = length
+            where[at] = base + np.cumsum(length) - length
+            flat.append(unpack(ids))
+            base += len(flat[-1])
+        pool = np.concatenate([*flat, np.zeros(0, np.int64)])
+        words = unpack(b"".join(docs["numbers"]))
+        ends = np.cumsum([len(x) - int((np.frombuffer(x, np.uint8) >= 128).sum()) for x in docs["numbers"]])  # words, then ids
+        n = lengths[words]
+        tokens = pool[_spread(where[words], n)]
+        return make(docs["doc_id"].astype("Int64"), tokens, np.concatenate(([0], np.cumsum(n)))[ends])
 
     return run
 
 
-def _plain(rows: list) -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": pd.array([i for i, _ in rows], dtype="Int64"), "ids": [x for _, x in rows]})
+def _plain(doc_ids: pd.Series, tokens: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": doc_ids, "ids": np.split(tokens.astype(np.int32), ends[:-1])})
 
 
 def _digests(shared):
-    def make(rows: list) -> pd.DataFrame:
-        table, sha = shared.value, lambda raw: hashlib.sha256(raw).hexdigest()
-        out = [(i, len(x), sha(x.astype("<u4").tobytes()), sha(b"".join(map(table.__getitem__, x.tolist())).decode("utf-8", "replace").encode())) for i, x in rows]
-        return pd.DataFrame({c: pd.array(v, dtype=k) for c, k, v in zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), ("Int64", "Int64", "string", "string"), zip(*out, strict=True) if out else [[]] * 4, strict=True)})
+    def make(doc_ids: pd.Series, tokens: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        text, starts, sizes = shared.value
+        of = np.concatenate(([0], np.cumsum(sizes[tokens])))[ends]
+        raw = text[_spread(starts[tokens], sizes[tokens])].tobytes()
+        codes, sha = tokens.astype("<u4").tobytes(), lambda x: hashlib.sha256(x).hexdigest()
+        spans = list(zip([0, *ends[:-1].tolist()], ends.tolist(), [0, *of[:-1].tolist()], of.tolist(), strict=True))
+        return pd.DataFrame({
+            "doc_id": doc_ids, "n_tokens": [b - a for a, b, _, _ in spans], "ids_sha256": [sha(codes[4 * a : 4 * b]) for a, b, _, _ in spans],
+            "decoded_sha256": [sha(raw[c:d].decode("utf-8", "replace").encode()) for _, _, c, d in spans],
+        })
 
     return make
 
 
 def _through_words(docs: DataFrame, path: str, id_col: str, text_col: str, make, schema: str) -> DataFrame:
+    """The chunks are a table bucketed by chunk, so the word numbers, the bulk of it, are not shuffled to meet their ids."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    made = stage(rows.mapInPandas(_chunks(path, 2 * parts), "chunk bigint, bucket int, doc_id bigint, numbers array<int>, words array<string>"), "chunks", "zstd")
-    lists = made.filter("bucket >= 0").select("chunk", "bucket", "numbers", "words").repartition(parts, "bucket")
-    ids = lists.mapInPandas(_encode_once(path), "chunk bigint, numbers array<int>, lengths array<int>, ids array<int>")
+    made = rows.mapInPandas(_chunks(path, 2 * parts), "chunk bigint, bucket int, doc_id bigint, numbers binary, sizes binary, words string")
+    name = f"attesto_chunks_{uuid.uuid4().hex}"
+    made.write.option("path", shared_dir(spark, "chunks")).option("compression", "zstd").bucketBy(parts, "chunk").saveAsTable(name)
+    made = spark.table(name)
+    lists = made.filter("bucket >= 0").select("chunk", "bucket", "numbers", "sizes", "words").repartition(parts, "bucket")
+    ids = lists.mapInPandas(_encode_once(path), "chunk bigint, numbers binary, lengths binary, ids binary")
     texts = made.filter("bucket < 0").select("chunk", "doc_id", "numbers")
     return texts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInPandas(_lay_out(make), schema)
 
@@ -226,5 +275,8 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     The decoding joins ids to the piece table (bounded by the vocabulary, so it is broadcast) where the ids are made.
     """
-    table = docs.sparkSession.sparkContext.broadcast(pieces(path))
+    found = pieces(path)
+    text = [found.get(i, b"") for i in range(max(found) + 1)]
+    sizes = np.array([len(x) for x in text], dtype=np.int64)
+    table = docs.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(text), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes))
     return _through_words(docs, path, id_col, text_col, _digests(table), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
