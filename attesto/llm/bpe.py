@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from attesto.llm.scratch import shared_dir, stage
 
 #: Characters of text after which a chunk ends.
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 24 << 20
+#: Words laid out at once.
+LAID_OUT = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -141,24 +143,20 @@ def _chunks(path: str, buckets: int):
         ids, numbers, size, index = [], [], 0, {}
 
         def flush() -> pd.DataFrame:
-            flat, ends = np.concatenate(numbers), np.cumsum([len(x) for x in numbers])
-            order = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")  # frequent words get small numbers, in fewer bytes
+            used = np.zeros(len(index), dtype=np.int64)
+            for x in numbers:
+                np.add.at(used, x, 1)
+            order = np.argsort(-used, kind="stable")  # frequent words get small numbers, in fewer bytes
             rank = np.empty(len(index), dtype=np.int64)
             rank[order] = np.arange(len(index))
-            packed, at = pack(rank[flat])
-            cuts = np.concatenate(([0], at))[ends]
-            raw, low = packed.tobytes(), 0
-            texts = []
-            for high in cuts.tolist():
-                texts.append(raw[low:high])
-                low = high
+            texts = [pack(rank[x])[0].tobytes() for x in numbers]
             rows = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "bucket": -1, "numbers": texts})
             words = list(index)
             owner = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), dtype=np.int64, count=len(words))[order]
             lists = [np.flatnonzero(owner == b) for b in np.unique(owner)]
             held = [[words[i] for i in order[x].tolist()] for x in lists]
             parts = pd.DataFrame({
-                "doc_id": pd.array([None] * len(lists), dtype="Int64"), "bucket": np.unique(owner), "numbers": [pack(x)[0].tobytes() for x in lists],
+                "doc_id": pd.array([None] * len(lists), dtype="Int64"), "bucket": np.unique(owner), "numbers": [pack(np.diff(x, prepend=0))[0].tobytes() for x in lists],
                 "sizes": [pack(np.array([len(w) for w in ws]))[0].tobytes() for ws in held], "words": ["".join(ws) for ws in held],
             })
             return pd.concat([rows, parts], ignore_index=True).assign(chunk=(task << 32) + made)[["chunk", "bucket", "doc_id", "numbers", "sizes", "words"]].astype(object).where(lambda x: x.notna(), None)
@@ -167,7 +165,7 @@ def _chunks(path: str, buckets: int):
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 text = text if isinstance(text, str) else ""
                 words = words_of(text, cut_out)
-                numbers.append(np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int64, count=len(words)))
+                numbers.append(np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int32, count=len(words)))
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
                 size += len(text)
                 if size >= CHUNK_CHARS:
@@ -180,11 +178,17 @@ def _chunks(path: str, buckets: int):
     return run
 
 
+def id_type(path: str) -> str:
+    """Two bytes an id where the vocabulary allows it."""
+    return "<u2" if max(pieces(path)) < 1 << 16 else "<u4"
+
+
 def _encode_once(path: str):
     """Encodes the words of a task's buckets, each distinct one once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, known = tokenizer(path), {}
+        kind = id_type(path)
         for frame in frames:
             lists = []
             for text, sizes in zip(frame["words"], frame["sizes"], strict=True):
@@ -196,8 +200,8 @@ def _encode_once(path: str):
                 known.update(zip(part, (x.ids for x in found.encode_batch_fast(part, add_special_tokens=False)), strict=True))
             out = [[known[w] for w in words] for words in lists]
             yield pd.DataFrame({
-                "chunk": frame["chunk"], "numbers": frame["numbers"], "lengths": [pack(np.array([len(x) for x in row]))[0].tobytes() for row in out],
-                "ids": [pack(np.array([i for x in row for i in x]))[0].tobytes() for row in out],
+                "chunk": frame["chunk"], "bucket": frame["bucket"], "lengths": [pack(np.array([len(x) for x in row]))[0].tobytes() for row in out],
+                "ids": [np.array([i for x in row for i in x], dtype=kind).tobytes() for row in out],
             })
 
     return run
@@ -208,25 +212,30 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-def _lay_out(make):
+def _lay_out(make, kind: str):
     """For each chunk, the ids of its texts by position; ``make`` turns (doc ids, ids of all, ends) into a frame."""
 
-    def run(key, docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        numbers = [unpack(x) for x in parts["numbers"]]
-        size = sum(map(len, numbers))
-        lengths, where, base, flat = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), 0, []
-        for at, packed, ids in zip(numbers, parts["lengths"], parts["ids"], strict=True):
+    def run(key, rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        own = rows["bucket"].to_numpy() >= 0
+        numbers = {b: np.cumsum(unpack(x)) for b, x in zip(rows["bucket"][own], rows["numbers"][own], strict=True)}
+        size = sum(map(len, numbers.values()))
+        lengths, where, base, flat = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32), 0, []
+        for bucket, packed, ids in zip(parts["bucket"], parts["lengths"], parts["ids"], strict=True):
             length = unpack(packed)
-            lengths[at] = length
-            where[at] = base + np.cumsum(length) - length
-            flat.append(unpack(ids))
+            lengths[numbers[bucket]] = length
+            where[numbers[bucket]] = base + np.cumsum(length) - length
+            flat.append(np.frombuffer(ids, dtype=kind))
             base += len(flat[-1])
-        pool = np.concatenate([*flat, np.zeros(0, np.int64)])
-        words = unpack(b"".join(docs["numbers"]))
-        ends = np.cumsum([len(x) - int((np.frombuffer(x, np.uint8) >= 128).sum()) for x in docs["numbers"]])  # words, then ids
-        n = lengths[words]
-        tokens = pool[_spread(where[words], n)]
-        return make(docs["doc_id"].astype("Int64"), tokens, np.concatenate(([0], np.cumsum(n)))[ends])
+        pool = np.concatenate([*flat, np.zeros(0, kind)])
+        docs = rows[~own]
+        count = np.array([len(x) - int((np.frombuffer(x, np.uint8) >= 128).sum()) for x in docs["numbers"]], dtype=np.int64)
+        out = []
+        for at in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(np.cumsum(count) // LAID_OUT)) + 1):  # runs of about LAID_OUT words
+            words = unpack(b"".join(docs["numbers"].iloc[at]))
+            n = lengths[words].astype(np.int64)
+            tokens = pool[_spread(where[words].astype(np.int64), n)]
+            out.append(make(docs["doc_id"].iloc[at].astype("Int64"), tokens, np.concatenate(([0], np.cumsum(n)))[np.cumsum(count[at])]))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
@@ -259,10 +268,9 @@ def _through_words(docs: DataFrame, path: str, id_col: str, text_col: str, make,
     name = f"attesto_chunks_{uuid.uuid4().hex}"
     made.write.option("path", shared_dir(spark, "chunks")).option("compression", "zstd").bucketBy(parts, "chunk").saveAsTable(name)
     made = spark.table(name)
-    lists = made.filter("bucket >= 0").select("chunk", "bucket", "numbers", "sizes", "words").repartition(parts, "bucket")
-    ids = lists.mapInPandas(_encode_once(path), "chunk bigint, numbers binary, lengths binary, ids binary")
-    texts = made.filter("bucket < 0").select("chunk", "doc_id", "numbers")
-    return texts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInPandas(_lay_out(make), schema)
+    lists = made.filter("bucket >= 0").select("chunk", "bucket", "sizes", "words").repartition(parts, "bucket")
+    ids = lists.mapInPandas(_encode_once(path), "chunk bigint, bucket int, lengths binary, ids binary")
+    return made.select("chunk", "bucket", "doc_id", "numbers").groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInPandas(_lay_out(make, id_type(path)), schema)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
