@@ -18,7 +18,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _STEP = _RNG.integers(0, 2**64, 8, dtype=U64) | U64(1)
 #: Bytes hashed at once; buffers are cut between words, so longer texts need no more memory than this.
-PIECE = 1 << 21
+PIECE = 1 << 18
 
 #: Separators of the near-duplicate operators: space and 0x09 to 0x0D.
 BLANKS = np.zeros(256, dtype=bool)
@@ -91,8 +91,8 @@ def combine(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def batches(texts: Iterable[str | None], limit: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, UTF-8 texts) in runs of about ``limit`` bytes; null counts as empty."""
+def batches(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first text, UTF-8 texts) in runs of about ``limit`` bytes (a longer text is a run of its own); null counts as empty."""
     first, size, run = 0, 0, []
     for i, text in enumerate(texts):
         raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
