@@ -139,6 +139,16 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(odd(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("gap", "other_gap"), [(40, 40), (100, 100), (250, 250), (100, 0)])
+def test_passages_apart_are_both_found(spark, gap, other_gap):
+    rng = random.Random(gap)
+    text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    one, two = text(60), text(60)
+    docs = [(0, " ".join(text(30) + one + text(other_gap) + two + text(30))), (1, " ".join(text(10) + one + text(gap) + two + text(20)))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted((r.start_word, r.end_word, r.similarity) for r in got) == [(10, 70, 1.0), (70 + gap, 130 + gap, 1.0)]
+
+
 def test_chains_are_ordered(spark):
     assert substring_dedup.chains(np.array([0, 8, 16, 500]), np.array([100, 108, 116, 90]), 8)[0] == (0, 24, 100, 124, 3)
 
