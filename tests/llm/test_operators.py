@@ -149,6 +149,18 @@ def test_passages_apart_are_both_found(spark, gap, other_gap):
     assert sorted((r.start_word, r.end_word, r.similarity) for r in got) == [(10, 70, 1.0), (70 + gap, 130 + gap, 1.0)]
 
 
+def test_fragments_in_earlier_documents_hide_no_passage(spark):
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage, second, third = text(90), text(100), text(60)
+    rows = [text(9) + passage[:45] + text(9), text(5) + passage[45:] + text(9), passage + text(20), text(30) + passage + text(7)]  # fragments in two documents
+    rows += [second[:40] + text(30) + second, text(15) + second]  # a fragment earlier inside the first document
+    rows += [text(3) + third[5:45] + text(50), text(40) + third + text(2), text(2) + third + text(30)]  # in one document
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.source_doc_id): (r.start_word, r.end_word, r.source_start, r.similarity) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert got == {(3, 2): (30, 120, 0, 1.0), (5, 4): (15, 115, 70, 1.0), (8, 7): (2, 62, 40, 1.0)}
+
+
 def test_chains_are_ordered(spark):
     assert substring_dedup.chains(np.array([0, 8, 16, 500]), np.array([100, 108, 116, 90]), 8)[0] == (0, 24, 100, 124, 3)
 
