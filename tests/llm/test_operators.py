@@ -161,6 +161,27 @@ def test_fragments_in_earlier_documents_hide_no_passage(spark):
     assert got == {(3, 2): (30, 120, 0, 1.0), (5, 4): (15, 115, 70, 1.0), (8, 7): (2, 62, 40, 1.0)}
 
 
+def test_passages_reach_beyond_their_outer_seeds(spark):
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    pairs = []
+    for changed in [(11, 48), (7, 52), (4, 9, 50, 55), (44, 48, 52, 56), (0, 59)] * 3:
+        passage = text(60)
+        pairs += [text(30) + passage + text(30), text(17) + [f"c{i}" if i in changed else w for i, w in enumerate(passage)] + text(40)]
+    short = text(45)
+    pairs += [text(30) + short + text(30), text(17) + short + text(40)]  # 45 words are too few
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(pairs)], "doc_id bigint, text string")).collect()}
+    assert sorted(got) == list(range(1, 30, 2))
+    assert [(got[i].start_word, got[i].end_word, got[i].source_start, got[i].source_end) for i in (1, 11, 21)] == [(17, 77, 30, 90)] * 3
+    assert all(abs(got[i].similarity - 58 / 60) < 1e-9 for i in (1, 3, 11, 13)) and got[9].n_words == 58 and got[9].similarity == 1
+
+
+def test_extensions_keep_the_score():
+    a, b = "a b c X d e f g h".split(), "a b c Y d e f g h".split()
+    assert max(substring_dedup.extensions(a, b, 0.2))[1:] == (9, 9, 2)
+    assert substring_dedup.extensions(["x"] * 50, ["y"] * 50, 0.2) == []
+
+
 def test_chains_are_ordered(spark):
     assert substring_dedup.chains(np.array([0, 8, 16, 500]), np.array([100, 108, 116, 90]), 8)[0] == (0, 24, 100, 124, 3)
 
