@@ -176,6 +176,15 @@ def test_passages_reach_beyond_their_outer_seeds(spark):
     assert all(abs(got[i].similarity - 58 / 60) < 1e-9 for i in (1, 3, 11, 13)) and got[9].n_words == 58 and got[9].similarity == 1
 
 
+def test_text_that_repeats_itself_is_covered_by_few_passages(spark):
+    rng = random.Random(14)
+    text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    docs = [(0, text(20) + ["x"] * 60 + text(20)), (1, text(30) + ["x"] * 600 + text(5)), (2, text(30) + ["x"] * 60 + text(5))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")).collect()
+    assert {w for r in got if r.doc_id == 1 for w in range(r.start_word, r.end_word)} == set(range(30, 630))
+    assert (30, 90) in {(r.start_word, r.end_word) for r in got if r.doc_id == 2} and len(got) < 60
+
+
 def test_extensions_keep_the_score():
     a, b = "a b c X d e f g h".split(), "a b c Y d e f g h".split()
     assert max(substring_dedup.extensions(a, b, 0.2))[1:] == (9, 9, 2)
