@@ -17,12 +17,12 @@ def money(c: Column) -> Column:
 
 
 def compact(c: Column) -> Column:
-    """Without white space; blank becomes null."""
-    return F.nullif(F.regexp_replace(c, r"\s+", ""), F.lit(""))
+    """Without white space, hyphens and points; blank becomes null."""
+    return F.nullif(F.regexp_replace(c, r"[\s\-.]+", ""), F.lit(""))
 
 
 def normalize_id(c: Column) -> Column:
-    """Tax and register numbers: without white space and leading zeros; null when blank, 0 when all zeros."""
+    """Tax and register numbers: without white space, hyphens, points and leading zeros; null when blank, 0 when all zeros."""
     bare = F.regexp_replace(compact(c), "^0+", "")
     return F.when(bare == "", "0").otherwise(bare)
 

@@ -72,6 +72,11 @@ def test_engagement(spark):
     assert "R-E01" not in statuses(spark, "engagement", f_ttc=dec(1))
 
 
+def test_identifiers_agree_whatever_their_separators(spark):
+    got = spark.range(1).select(scalars.compact(F.lit("001-780 12.3")).alias("c"), scalars.normalize_id(F.lit("00-1.2")).alias("i"), scalars.normalize_ice(F.lit("0012-34")).alias("ice"), scalars.compact(F.lit(" -. ")).alias("none")).first()
+    assert tuple(got) == ("001780123", "12", "001234", None)
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         *[scalars.parse_amount(F.lit(x)).cast("string").alias(f"a{i}") for i, x in enumerate(["1 234,56", "1.234,56 MAD", "1,234.56", "-7", "x"])],
