@@ -108,6 +108,49 @@ def test_jaccard_groups_equal_brute_force(spark):
     assert jaccard_join.jaccard_groups(odd(spark)).count() == len(ODD) and jaccard_join.jaccard_groups(docs.limit(0)).count() == 0
 
 
+def brute_components(texts: list) -> list[int]:
+    sets = [brute_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_jaccard_groups_near_the_threshold(spark):
+    """Large families whose members are about as similar as the threshold, with edits of their own, shared edits and shared passages."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(12)]
+    texts = []
+    for family in range(4):
+        base = [f"f{family}w{rng.randint(0, 400)}" for _ in range(rng.randint(40, 120))]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 2, 3, 3, 4])):
+                at = rng.randrange(len(w))
+                w[at] = rng.choice([f"own{rng.random()}", f"alt{at}", f"alt{at // 7}"])
+            at = rng.randrange(len(w))
+            w = w[: len(w) - rng.choice([0, 0, 3, 8])]
+            w[at:at] = rng.choice([[], [], passage, passage[:4]])
+            texts.append(" ".join(w))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(docs).collect()}
+    expected = brute_components(texts)
+    assert 8 < len(set(expected)) < 200
+    assert got == dict(enumerate(expected))
+
+
 @pytest.mark.parametrize("cell", [2048, 8])
 def test_embedding_links_equal_brute_force(spark, monkeypatch, cell):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)  # small: hot cells are cut into blocks
