@@ -271,6 +271,36 @@ def test_html(spark):
     assert html_text.main_text("<article><p>a</p><form>no</form></article><div>out of it, long long long</div>") == "a"
 
 
+PROSE = "<p>" + "long words of prose that anyone may read at leisure. " * 6 + "</p>"
+
+
+def test_ratios_choose_the_regions_of_a_page():
+    said = html_text.main_text(PROSE)
+    links = "<ul>" + "".join(f"<li><a href=/{i}>see also {i}</a></li>" for i in range(6)) + "</ul>"
+    # in an article a block of links falls under the threshold, a list and a table of text do not
+    page = f"<body><article><h1>Name</h1>{PROSE}{links}{PROSE}<ul><li>one thing</li></ul><table><tr><td>5</td><td>7</td></tr></table></article></body>"
+    assert html_text.main_text(page) == f"Name {said} {said} one thing 5 7"
+    # teasers in articles do not replace a body outside of them; without an article, the blocks above the threshold are taken
+    teasers = "".join(f"<article><h3><a href=/{i}>Teaser {i}</a></h3><p>short blurb</p></article>" for i in range(5))
+    assert html_text.main_text(f"<body><div><h1>Name</h1>{PROSE}{PROSE}</div>{teasers}</body>") == f"Name {said} {said}"
+    assert html_text.main_text(f"<body><div><a>a</a> <a>b</a></div><div><h1>Name</h1>{PROSE}</div><div><a>z</a></div></body>") == f"Name {said}"
+    assert html_text.main_text(f"<body><main><h2>Two</h2>{PROSE}{links}</main>{links}</body>") == f"Two {said}"
+    assert html_text.main_text(f"<body>{links}</body>") == ""
+
+
+def test_html_query_on_odd_pages(spark, tmp_path):
+    long = f"<article>{PROSE * 2000}</article>"
+    rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", f"<nav>no</nav><article>{PROSE}</article>", "x"), (3, "u", f"<nav>no</nav><article>{PROSE}</article>", "x"), (4, "u", long, "x"), (None, "u", "a&lt;b", "x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op7_html_text"](spark, str(tmp_path))
+    said = html_text.main_text(PROSE)
+    expected = [(1, "u", ""), (2, None, ""), (3, "u", said), (3, "u", said), (4, "u", " ".join([said] * 2000)), (None, "u", "a<b")]
+    assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in got.collect()), key=repr) == sorted(((*x, len(x[2])) for x in expected), key=repr)
+    pages.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["op7_html_text"](spark, str(tmp_path)).count() == 0
+
+
 def test_mixing_meets_its_targets(spark):
     rows = [(i, "w " * 20, f"s{i % 3}", "en" if i % 2 else "fr") for i in range(600)] + [(None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
