@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Drops the shuffle files of a query when it ends, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local: list[str] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; where that is unset (tests), under a folder of this process."""
+    """A fresh path under ``spark.checkpoint.dir``; where that is unset, under a folder of this process, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="attesto-"))
         root = _local[0]
@@ -23,8 +31,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet and read again: its lineage ends there, and each row is computed once.
 
-    The writer commits by task, so a lost executor costs its running tasks only.
+    The writer commits by task, so a lost executor costs its running tasks only. The shuffle files of the query that
+    writes it go when it ends.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
