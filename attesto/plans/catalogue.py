@@ -6,21 +6,19 @@ lines, customers suppliers and engagements, events usage records, labels human c
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesto.functions import scalars
 from attesto.operators import crossfile, reports, rules
 from attesto.operators.verdicts import emit
+from attesto.plans import rule_queries  # noqa: F401  registers its queries
 from attesto.plans.context import from_orders
+from attesto.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from attesto.sources.tables import table
 from attesto.streaming.telemetry import daily_usage
 
 FLAGSHIP = "rule_verdicts"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def ttc():
@@ -28,18 +26,6 @@ def ttc():
     return scalars.money(F.col("o_totalprice"))
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that gives the same rows."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 VERDICT_SQL = """
 WITH l AS (
     SELECT l_orderkey AS k, CAST(l_extendedprice AS DECIMAL(18,2)) AS mt, CAST(l_quantity AS DECIMAL(15,3)) AS q, l_tax, l_shipdate FROM lineitem

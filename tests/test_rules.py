@@ -48,7 +48,7 @@ def test_cash(spark, mode, ttc, expected):
 def test_certificate_lasts_six_months_inclusive(spark):
     assert statuses(spark, "chronology", arf_date=D(2024, 1, 15), op_date=D(2024, 7, 15))["R18"] == "CONFORME"
     assert statuses(spark, "chronology", arf_date=D(2024, 1, 15), op_date=D(2024, 7, 16))["R18"] == "NON_CONFORME"
-    assert statuses(spark, "chronology", type_dossier="MARCHE", arf_date=D(2024, 1, 15), op_date=D(2024, 5, 1))["R18"] == "NON_CONFORME"
+    assert statuses(spark, "chronology", e_type="MARCHE", arf_date=D(2024, 1, 15), op_date=D(2024, 5, 1))["R18"] == "NON_CONFORME"
 
 
 def test_identifiers(spark):
@@ -67,7 +67,7 @@ def test_checklist_takes_the_worst_point(spark):
 
 
 def test_engagement(spark):
-    got = statuses(spark, "engagement", e_type="CONTRAT", e_statut="SUSPENDU", e_plafond=dec(100), e_consomme=dec(101), f_ttc=dec(115), e_precedent_ttc=dec(100))
+    got = statuses(spark, "engagement", e_type="CONTRAT", e_statut="SUSPENDU", e_plafond=dec(100), e_consomme=dec(101), f_ttc=dec(115), e_precedent_ttc=dec(100), e_indice="S")
     assert got["R-E01"] == "AVERTISSEMENT" and got["R-E03"] == "AVERTISSEMENT" and got["R-E05"] == "CONFORME" and got["R-C04"] == "AVERTISSEMENT" and "R-M01" not in got
     assert "R-E01" not in statuses(spark, "engagement", f_ttc=dec(1))
 
