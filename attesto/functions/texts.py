@@ -90,9 +90,7 @@ AFTER_LABEL = (r"(?i)(I\.?C\.?E\.?\s*[:.]?\s*)([0-9OolI]{13,17})", r"(?i)(I\.?F\
 AMOUNT_AFTER_LABEL = r"(?i)((?:HT|TTC|TVA|Total|Montant|Net|Sous.?total|Remise|Base)\s*[:.]?\s*)([\d\s]+[.,]\s*\d{1,2})"
 
 
-@F.pandas_udf("string")
-def mend_numbers(texts: pd.Series) -> pd.Series:
-    """Digits after labels: blanks inside amounts go, confused letters become digits; rewrites inside a match need Python."""
+def _mend_numbers(texts: pd.Series) -> pd.Series:
     confused = str.maketrans("OolI", "0011")
     texts = texts.str.replace(AMOUNT_AFTER_LABEL, lambda m: m[1] + re.sub(r"\s+", "", m[2]), regex=True)
     for pattern in AFTER_LABEL:
@@ -100,6 +98,11 @@ def mend_numbers(texts: pd.Series) -> pd.Series:
     return texts
 
 
+def mend_numbers(texts: Column) -> Column:
+    """Digits after labels: blanks inside amounts go, confused letters become digits; rewrites inside a match need Python."""
+    return F.pandas_udf(_mend_numbers, "string")(texts)
+
+
 def document_type(text: Column) -> Column:
     """The first type whose words occur; the order decides. INCONNU where none does."""
     t = F.lower(text)
@@ -130,9 +133,7 @@ def resolved_type(keyword_type: Column, model_type: Column, confidence: Column)
     return F.when(keyword_type != "INCONNU", keyword_type).when(confidence >= 0.6, F.coalesce(model_type, F.lit("INCONNU"))).otherwise("INCONNU")
 
 
-@F.pandas_udf("text string, mapping map<string,string>")
-def pseudonymize(texts: pd.Series) -> pd.DataFrame:
-    """Numbered tokens for e-mail addresses, phones and persons, the same value the same token; and token to value."""
+def _pseudonymize(texts: pd.Series) -> pd.DataFrame:
     out = []
     for text in texts:
         known: dict[str, str] = {}
@@ -151,14 +152,17 @@ def pseudonymize(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "mapping"])
 
 
+def pseudonymize(texts: Column) -> Column:
+    """Numbered tokens for e-mail addresses, phones and persons, the same value the same token; and token to value."""
+    return F.pandas_udf(_pseudonymize, "text string, mapping map<string,string>")(texts)
+
+
 def restore(text: Column, mapping: Column) -> Column:
     """The text with its tokens replaced by the values again."""
     return F.aggregate(F.map_entries(mapping), text, lambda t, e: F.replace(t, e["key"], e["value"]))
 
 
-@F.pandas_udf("string")
-def first_json_object(texts: pd.Series) -> pd.Series:
-    """The first balanced ``{...}``, strings and escapes respected; null if there is none."""
+def _first_json_object(texts: pd.Series) -> pd.Series:
 
     def find(text: str | None) -> str | None:
         start = -1 if text is None else text.find("{")
@@ -180,9 +184,12 @@ def first_json_object(texts: pd.Series) -> pd.Series:
     return texts.map(find, na_action=None)
 
 
-@F.pandas_udf("string")
-def columns_to_markdown(texts: pd.Series) -> pd.Series:
-    """Blocks of two lines or more with two columns or more (within one of the first line's) become Markdown tables."""
+def first_json_object(texts: Column) -> Column:
+    """The first balanced ``{...}``, strings and escapes respected; null if there is none."""
+    return F.pandas_udf(_first_json_object, "string")(texts)
+
+
+def _columns_to_markdown(texts: pd.Series) -> pd.Series:
 
     def table(block: list[list[str]]) -> list[str]:
         width = max(map(len, block))
@@ -210,6 +217,11 @@ def columns_to_markdown(texts: pd.Series) -> pd.Series:
     return texts.map(convert, na_action=None)
 
 
+def columns_to_markdown(texts: Column) -> Column:
+    """Blocks of two lines or more with two columns or more (within one of the first line's) become Markdown tables."""
+    return F.pandas_udf(_columns_to_markdown, "string")(texts)
+
+
 def jaro_winkler(a: str, b: str) -> float:
     """Common letters within half the longer length, transpositions, and a bonus for four first letters in common."""
     if not a or not b:
@@ -231,12 +243,15 @@ def jaro_winkler(a: str, b: str) -> float:
     return score + prefix * 0.1 * (1 - score)
 
 
-@F.pandas_udf("double")
-def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro-Winkler similarity of two normalised names."""
+def _name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter((1.0 if x and x == y else jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)), dtype=float, count=len(a)))
 
 
+def name_similarity(a: Column, b: Column) -> Column:
+    """Jaro-Winkler similarity of two normalised names."""
+    return F.pandas_udf(_name_similarity, "double")(a, b)
+
+
 def grounded(value: Column, text: Column, kind: str, least: int) -> Column:
     """Whether an extracted identifier occurs in its text: its last ``least`` digits, or all of its letters and digits; shorter ones pass."""
     if kind == "DIGITS":
