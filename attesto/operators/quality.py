@@ -16,24 +16,49 @@ SCHEMA = {
     ],
     "BON_COMMANDE": [("dateBc", "DATE", False), ("montantTTC", "MONTANT", True), ("fournisseur", "TEXTE", True)],
     "ORDRE_PAIEMENT": [("dateEmission", "DATE", False), ("montantOperation", "MONTANT", True), ("rib", "RIB", False)],
+    "CONTRAT_AVENANT": [("dateSignature", "DATE", False), ("dateEffet", "DATE", False)],
     "ATTESTATION_FISCALE": [("ice", "ICE", False), ("identifiantFiscal", "IF", False), ("dateEdition", "DATE", False)],
+    "MARCHE": [
+        ("reference", "TEXTE", True), ("fournisseur", "TEXTE", True), ("dateDocument", "DATE", False), ("dateSignature", "DATE", False), ("dateNotification", "DATE", False), ("dateAo", "DATE", False),
+        ("montantTtc", "MONTANT", True), ("montantHt", "MONTANT", False), ("montantTva", "MONTANT", False), ("tauxTva", "TAUX", False),
+    ],
+    "BON_COMMANDE_CADRE": [
+        ("reference", "TEXTE", True), ("fournisseur", "TEXTE", True), ("dateDocument", "DATE", False), ("dateSignature", "DATE", False), ("dateValiditeFin", "DATE", False), ("montantTtc", "MONTANT", True),
+        ("plafondMontant", "MONTANT", False), ("tauxTva", "TAUX", False),
+    ],
+    "CONTRAT_CADRE": [
+        ("reference", "TEXTE", True), ("fournisseur", "TEXTE", True), ("dateDocument", "DATE", False), ("dateSignature", "DATE", False), ("dateDebut", "DATE", False), ("dateFin", "DATE", False),
+        ("montantTtc", "MONTANT", True), ("tauxTva", "TAUX", False),
+    ],
 }
 #: Identifiers that must occur in the text, as (field, kind, least length, critical).
 GROUNDED = {
     "FACTURE": [("ice", "DIGITS", 10, True), ("rib", "DIGITS", 20, False), ("identifiantFiscal", "DIGITS", 5, False), ("numeroFacture", "ALNUM", 4, True)],
     "BON_COMMANDE": [("reference", "ALNUM", 4, True)],
     "ORDRE_PAIEMENT": [("numeroOp", "ALNUM", 4, True), ("rib", "DIGITS", 20, False), ("referenceFacture", "ALNUM", 4, False)],
+    "CONTRAT_AVENANT": [("referenceContrat", "ALNUM", 3, True)],
     "ATTESTATION_FISCALE": [("numero", "ALNUM", 3, True), ("ice", "DIGITS", 10, False), ("identifiantFiscal", "DIGITS", 5, False)],
+    "PV_RECEPTION": [("referenceContrat", "ALNUM", 3, False)],
+    "CHECKLIST_AUTOCONTROLE": [("referenceFacture", "ALNUM", 4, True)], "CHECKLIST_PIECES": [("referenceFacture", "ALNUM", 4, True)], "TABLEAU_CONTROLE": [("referenceFacture", "ALNUM", 4, True)],
+    "MARCHE": [("reference", "ALNUM", 3, True), ("numeroAo", "ALNUM", 3, False)], "BON_COMMANDE_CADRE": [("reference", "ALNUM", 3, True)], "CONTRAT_CADRE": [("reference", "ALNUM", 3, True)],
 }
 #: Fields that a document of a type must have, and should have.
 MANDATORY = {
     "FACTURE": ["numeroFacture", "dateFacture", "montantTTC", "fournisseur", "ice"], "BON_COMMANDE": ["reference", "dateBc", "montantTTC", "fournisseur"],
     "ORDRE_PAIEMENT": ["numeroOp", "dateEmission", "montantOperation", "rib", "beneficiaire"], "ATTESTATION_FISCALE": ["numero", "dateEdition", "raisonSociale", "ice"],
+    "CONTRAT_AVENANT": ["referenceContrat", "dateSignature", "parties", "objet"], "PV_RECEPTION": ["dateReception", "referenceContrat", "prestations"], "CHECKLIST_AUTOCONTROLE": ["points", "referenceFacture", "prestataire"],
+    "CHECKLIST_PIECES": ["pieces", "referenceFacture"], "TABLEAU_CONTROLE": ["points", "referenceFacture", "fournisseur"], "MARCHE": ["reference", "objet", "fournisseur", "montantTtc", "dateDocument"],
+    "BON_COMMANDE_CADRE": ["reference", "objet", "fournisseur", "montantTtc", "dateDocument"], "CONTRAT_CADRE": ["reference", "objet", "fournisseur", "montantTtc", "dateDocument"],
 }
 IMPORTANT = {
     "FACTURE": ["montantHT", "tauxTVA", "lignes", "identifiantFiscal", "rib", "devise", "dateReceptionFacture"], "BON_COMMANDE": ["montantHT", "tauxTVA", "lignes", "objet", "signataire"],
     "ORDRE_PAIEMENT": ["referenceFacture", "retenues", "banque", "syntheseControleur", "modePaiement", "signataireOrdonnateur", "signataireComptable"],
-    "ATTESTATION_FISCALE": ["identifiantFiscal", "rc", "estEnRegle", "codeVerification", "typeAttestation"],
+    "ATTESTATION_FISCALE": ["identifiantFiscal", "rc", "estEnRegle", "codeVerification", "typeAttestation"], "CONTRAT_AVENANT": ["grillesTarifaires", "dateEffet", "numeroAvenant"],
+    "PV_RECEPTION": ["signataireMadaef", "signataireFournisseur", "periodeDebut", "periodeFin"], "CHECKLIST_AUTOCONTROLE": ["signataires", "dateEtablissement", "referenceBc", "nomProjet"],
+    "CHECKLIST_PIECES": ["typeDossier", "signataire", "dateEtablissement"], "TABLEAU_CONTROLE": ["signataire", "dateControle", "conclusionGenerale", "societeGeree"],
+    "MARCHE": ["montantHt", "tauxTva", "numeroAo", "dateAo", "categorie", "delaiExecutionMois", "retenueGarantiePct", "cautionDefinitivePct", "revisionPrixAutorisee"],
+    "BON_COMMANDE_CADRE": ["montantHt", "tauxTva", "plafondMontant", "dateValiditeFin", "seuilAntiFractionnement"],
+    "CONTRAT_CADRE": ["montantHt", "tauxTva", "dateDebut", "dateFin", "periodicite", "reconductionTacite", "preavisResiliationJours"],
 }
 PLACEHOLDERS = ("n/a", "na", "inconnu", "unknown", "?", "-", "null", "none")
 RETRY_BELOW, REVIEW_BELOW = 70, 60
@@ -63,7 +88,7 @@ def _broken(kind: str, value: Column) -> Column:
         "ICE": ~digits.rlike("^[0-9]{15}$"), "RIB": ~digits.rlike("^[0-9]{24}$"), "IF": ~digits.rlike("^[0-9]{5,15}$"), "DATE": scalars.parse_date_correction(t).isNull(), "MONTANT": amount.isNull() | (amount < 0),
         "TAUX": amount.isNull() | ~amount.isin(*scalars.VAT_RATES), "TEXTE": F.lower(t).isin(*PLACEHOLDERS) | t.rlike(r"^\p{Punct}+$") | (F.length(t) < 2),
     }[kind]
-    return F.when(t == "", F.lit(kind == "TEXTE")).otherwise(wrong)
+    return F.when(value.isNull(), False).when(t == "", F.lit(kind == "TEXTE")).otherwise(wrong)
 
 
 def _checked(docs: DataFrame, rules: dict, test, critical_at: int) -> DataFrame:
