@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,15 +35,23 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     The writer commits by task, so a lost executor costs its running tasks only. The shuffle files of the query that
     writes it go when it ends.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    table = spark.read.schema(df.schema).parquet(path)
+    return stage_parts([df], name, compression)
+
+
+def stage_parts(parts: Iterable[DataFrame], name: str, compression: str = "snappy") -> DataFrame:
+    """The rows of several DataFrames of one schema in one staged table, written one after the other, so that only one part's shuffle files are there at a time."""
+    table = None
+    for df in parts:
+        spark = df.sparkSession
+        path = shared_dir(spark, name) if table is None else path
+        before = spark.conf.get(CLEANUP, None)
+        spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("append").option("compression", compression).parquet(path)
+        finally:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        table = df
+    table = spark.read.schema(table.schema).parquet(path)
     _paths[table] = path
     return table
 
