@@ -50,12 +50,3 @@ def search(files: DataFrame, equal: dict[str, object] | None = None, like: dict[
 def page(df: DataFrame, by: list[Column], number: int, size: int = 20) -> DataFrame:
     return df.orderBy(*by).offset(number * size).limit(size)
 
-
-def full_text(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that hold every word of the query, with the number of occurrences as rank."""
-    wanted = sorted({w for w in query.lower().split() if w})
-    tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+")
-    times = lambda w: F.size(F.filter(tokens, lambda t: t == w))
-    counted = docs.select(key, *[times(w).alias(f"n{i}") for i, w in enumerate(wanted)])
-    hits = [F.col(f"n{i}") for i in range(len(wanted))]
-    return counted.filter(F.least(*hits, F.lit(10**9)) > 0).select(key, sum(hits, F.lit(0)).cast("bigint").alias("rang"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesto.functions import scalars
-from attesto.operators import crossfile, reports, rules
+from attesto.operators import crossfile, listing, reports, rules
 from attesto.operators.verdicts import emit
 from attesto.plans import listing_queries, rule_queries, state_queries, text_queries  # noqa: F401  they register their queries
 from attesto.plans.context import from_orders
@@ -149,11 +149,11 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+') AS w FROM documents),
-     n AS (SELECT doc_id, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'with')) AS b FROM t)
-SELECT doc_id, CAST(a + b AS BIGINT) AS rang FROM n WHERE a > 0 AND b > 0""")
+WITH t AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+') AS w, string_split_regex(lower(coalesce(source, '')), '[^\\pL\\pN]+') AS s FROM documents),
+     n AS (SELECT doc_id, 10 * len(list_filter(s, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'the')) AS a, 10 * len(list_filter(s, lambda x: x = 'with')) + len(list_filter(w, lambda x: x = 'with')) AS b FROM t)
+SELECT doc_id, CAST(a + b AS BIGINT) AS rang FROM n WHERE a > 0 AND b > 0 ORDER BY rang DESC, doc_id LIMIT 50""")
 def full_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.full_text(table(spark, sf_dir, "documents"), "the with")
+    return listing.full_text(table(spark, sf_dir, "documents"), "the with", F.col("source"))
 
 
 @query("""
@@ -180,9 +180,11 @@ def rule_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.corrections_by(checked, F.col("source"), F.when(F.col("n_chars") > 1000, 1).otherwise(0), F.col("quality"))
 
 
-@query("SELECT c_custkey AS fournisseur FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey AS fournisseur FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)")
 def suppliers_without_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("fournisseur"))
+    """Suppliers without an urgent file under way."""
+    urgent = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
+    return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("fournisseur"))
 
 
 @query("SELECT o_custkey AS fournisseur, arg_max(o_orderkey, CAST(o_orderdate AS VARCHAR) || lpad(CAST(o_orderkey AS VARCHAR), 20, '0')) AS dossier_id FROM orders GROUP BY 1")
