@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesto.llm.scratch import shared_dir, stage
+from attesto.llm.scratch import bounded_batches, shared_dir, stage
 
 #: Characters of text after which a chunk ends.
 CHUNK_CHARS = 24 << 20
@@ -262,6 +262,7 @@ def _digests(shared):
 def _through_words(docs: DataFrame, path: str, id_col: str, text_col: str, make, schema: str) -> DataFrame:
     """The chunks are a table bucketed by chunk, so the word numbers, the bulk of it, are not shuffled to meet their ids."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     made = rows.mapInPandas(_chunks(path, 2 * parts), "chunk bigint, bucket int, doc_id bigint, numbers binary, sizes binary, words string")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesto.llm.scratch import shared_dir, stage
+from attesto.llm.scratch import fresh, shared_dir, stage
 
 #: The state store; without preallocation, as there are many small stores.
 STORE = {
@@ -94,10 +94,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of equal texts that with the largest id."""
-    kept = stage(exact_groups(docs, id_col, text_col).filter("kept").select("digest", F.col("id").alias("__id")), "kept")
-    marked = docs.withColumn("__digest", text_digest(docs[text_col]))
-    stays = marked.join(kept, (marked["__digest"] == kept["digest"]) & marked[id_col].cast("bigint").eqNullSafe(kept["__id"]), "left_semi")
+    kept = stage(exact_groups(docs, id_col, text_col).filter("kept").select(F.col("digest").alias("kept_digest"), F.col("id").alias("kept_id")), "kept")
+    own = fresh("digest", docs)
+    marked = docs.withColumn(own, text_digest(docs[text_col]))
+    stays = marked.join(kept, (marked[own] == kept["kept_digest"]) & marked[id_col].cast("bigint").eqNullSafe(kept["kept_id"]), "left_semi")
     twins = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").head(1)
     if twins:  # repeated rows: one of each stays
-        stays = stays.dropDuplicates(["__digest"])
-    return stays.drop("__digest")
+        stays = stays.dropDuplicates([own])
+    return stays.drop(own)

@@ -11,15 +11,16 @@ shards may be empty when there are fewer rows than shards.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesto.llm.scratch import stage
 
-#: Source blocks, dealt as GROUPS groups of MEMBERS blocks; the matrix has GROUPS * MEMBERS rows at most.
-GROUPS, MEMBERS = 32, 32
-#: Parts into which each shard is cut for its last permutation.
-PARTS = 64
+#: Rows that one task permutes at most about, in a source block or in a part of a shard. Blocks are dealt as ``side`` groups of
+#: ``side`` blocks, 32 at least, so the matrix has a row for each ROWS rows and no fewer than 1024; shards have 64 parts at least.
+ROWS = 2_000_000
 
 
 def _uniform(*keys: Column) -> Column:
@@ -101,38 +102,42 @@ def _dense(slots: int, key: str, *, by: list[str], df: DataFrame, value: str) ->
     return df.groupBy(*by).agg(F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.element_at(pairs, i), F.lit(0).cast("bigint"))).alias("counts"))
 
 
-def communication_matrix(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
+def communication_matrix(blocks: DataFrame, shards: int, seed: int, side: int = 32) -> DataFrame:
     """From (block, n) the drawn matrix: block, ``until`` (for each shard the local rank below which rows go to it or one before)."""
-    cells = blocks.withColumn("group", F.floor(F.col("block") / MEMBERS).cast("int")).withColumn("member", (F.col("block") % MEMBERS).cast("int"))
+    cells = blocks.withColumn("group", F.floor(F.col("block") / side).cast("int")).withColumn("member", (F.col("block") % side).cast("int"))
     sums = cells.groupBy("group").agg(F.sum("n").alias("n"))
-    whole = _dense(GROUPS, "group", by=[], df=sums, value="n").filter(F.size("counts") > 0)
+    whole = _dense(side, "group", by=[], df=sums, value="n").filter(F.size("counts") > 0)
     total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
     room = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.floor(total / shards).cast("bigint") + F.when(j < total % shards, 1).otherwise(0).cast("bigint"))
     groups = whole.select(F.posexplode(deal(F.col("counts"), room, shards, F.lit(seed), F.lit("groups"))).alias("group", "room"))
-    inside = _dense(MEMBERS, "member", by=["group"], df=cells, value="n").join(groups, "group")
+    inside = _dense(side, "member", by=["group"], df=cells, value="n").join(groups, "group")
     drawn = inside.select("group", F.posexplode(deal(F.col("counts"), F.col("room"), shards, F.lit(seed), F.col("group"))).alias("member", "sent"))
     until = F.transform("sent", lambda _, j: F.aggregate(F.slice("sent", F.lit(1), j + 1), F.lit(0).cast("bigint"), lambda a, x: a + x))
-    return drawn.select((F.col("group") * MEMBERS + F.col("member")).alias("block"), until.alias("until"))
+    return drawn.select((F.col("group") * side + F.col("member")).alias("block"), until.alias("until"))
 
 
 def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
     """``df`` with ``shard`` and ``slot``: a uniform shuffle, shard sizes at most one apart, slots gapless from 0.
 
     The rows are written once with the number of their source partition; everything after reads that table, so a
-    retried task sees the same blocks. Names that ``df`` already uses for the new columns are replaced.
+    retried task sees the same blocks. A row travels as one struct, so its column names meet no others; columns of ``df``
+    named ``shard`` or ``slot`` are replaced.
     """
-    rows = stage(df.drop("shard", "slot", "__row").withColumn("__row", F.monotonically_increasing_id()), "rows")
-    rows = rows.withColumn("__block", F.pmod(F.shiftright("__row", 33), F.lit(GROUPS * MEMBERS)).cast("int"))
-    counts = rows.groupBy("__block").agg(F.count(F.lit(1)).alias("n"))
-    matrix = stage(communication_matrix(counts.select(F.col("__block").alias("block"), "n"), shards, seed), "matrix")  # GROUPS * MEMBERS rows
-    local = Window.partitionBy("__block").orderBy(F.xxhash64(F.lit(seed), F.lit("local"), "__row"), "__row")
-    sent = rows.withColumn("__rank", F.row_number().over(local) - 1).join(F.broadcast(matrix), rows["__block"] == matrix["block"])
-    sent = sent.withColumn("shard", F.size(F.filter("until", lambda c: c <= F.col("__rank"))).cast("int")).drop("until", "block", "__block", "__rank")
-    order = F.xxhash64(F.lit(seed), F.lit("final"), "__row")
-    sent = stage(sent.withColumn("__order", order).withColumn("__part", F.pmod(F.shiftright("__order", 40), F.lit(PARTS)).cast("int")), "exchanged")
-    sizes = sent.groupBy(F.col("shard").alias("s"), F.col("__part").alias("p")).agg(F.count(F.lit(1)).alias("n"))  # shards * PARTS rows
-    offsets = sizes.select("s", "p", (F.sum("n").over(Window.partitionBy("s").orderBy("p")) - F.col("n")).alias("offset"))
-    last = Window.partitionBy("shard", "__part").orderBy("__order", "__row")
-    ranked = sent.withColumn("__rank", F.row_number().over(last) - 1)
-    placed = ranked.join(F.broadcast(offsets), (ranked["shard"] == offsets["s"]) & (ranked["__part"] == offsets["p"]))
-    return placed.withColumn("slot", F.col("offset") + F.col("__rank")).drop("s", "p", "offset", "__order", "__part", "__rank", "__row")
+    own = [df[c] for c in df.columns if c.lower() not in ("shard", "slot")]
+    rows = stage(df.select((F.struct(*own) if own else F.lit(None)).alias("data"), F.monotonically_increasing_id().alias("row")), "rows")
+    n = rows.count()
+    side, parts = max(32, math.ceil(math.sqrt(n / ROWS))), max(64, math.ceil(n / shards / ROWS))
+    rows = rows.withColumn("block", F.pmod(F.shiftright("row", 33), F.lit(side * side)).cast("int"))
+    counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    matrix = stage(communication_matrix(counts, shards, seed, side), "matrix")  # side * side rows
+    local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), F.lit("local"), "row"), "row")
+    sent = rows.withColumn("rank", F.row_number().over(local) - 1).join(F.broadcast(matrix), "block")
+    sent = sent.select("data", "row", F.size(F.filter("until", lambda c: c <= F.col("rank"))).cast("int").alias("shard"))
+    sent = sent.withColumn("order", F.xxhash64(F.lit(seed), F.lit("final"), "row"))
+    sent = stage(sent.withColumn("part", F.pmod(F.shiftright("order", 40), F.lit(parts)).cast("int")), "exchanged")
+    sizes = sent.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))  # shards * parts rows
+    offsets = sizes.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("offset"))
+    last = Window.partitionBy("shard", "part").orderBy("order", "row")
+    placed = sent.withColumn("rank", F.row_number().over(last) - 1).join(F.broadcast(offsets), ["shard", "part"])
+    slot = F.col("offset") + F.col("rank")
+    return placed.select("data.*", "shard", slot.alias("slot")) if own else placed.select("shard", slot.alias("slot"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesto.llm.scratch import stage
+from attesto.llm.scratch import bounded_batches, stage
 from attesto.llm.wordhash import NOT_ALNUM, batches, hash_words, mix
 
 #: Bound of the labelled sample on which the classifier is fitted.
@@ -171,6 +171,7 @@ def scorer(model: Model):
 
 def _fitted(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], id_col: str, text_col: str) -> Model:
     """The sample is chosen among the labels, so what is joined with the texts is small enough to broadcast."""
+    bounded_batches(docs.sparkSession)
     label = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].alias("toxic")).filter("toxic in (0, 1)")
     chosen = label.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
