@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,20 +28,27 @@ def candidates(lines: DataFrame, references: DataFrame) -> DataFrame:
 def greedy(pairs: DataFrame) -> DataFrame:
     """(dossier_id, l, r): in line order each line takes its best reference line that is still free, the first on ties.
 
-    Sequential within a file, so it runs on one file's candidate pairs at a time; these are as many as its lines allow.
+    Sequential within a file: the pairs of a file come to one task in this order, and one pass keeps only the reference
+    lines that the present file has taken.
     """
 
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        out = []
-        for line, own in frame.sort_values(["l", "score", "r"], ascending=[True, False, True]).groupby("l", sort=True):
-            free = own[~own["r"].isin(taken)]
-            if len(free):
-                taken.add(free["r"].iloc[0])
-                out.append((frame["dossier_id"].iloc[0], line, free["r"].iloc[0]))
-        return pd.DataFrame(out, columns=["dossier_id", "l", "r"])
-
-    return pairs.select("dossier_id", "l", "r", "score").groupBy("dossier_id").applyInPandas(assign, "dossier_id bigint, l int, r int")
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, line, taken, done = None, None, set(), False
+        for frame in frames:
+            out = []
+            for d, own, r in zip(frame["dossier_id"].tolist(), frame["l"].tolist(), frame["r"].tolist(), strict=True):
+                if d != file:
+                    file, line, taken = d, None, set()
+                if own != line:
+                    line, done = own, False
+                if not done and r not in taken:
+                    taken.add(r)
+                    done = True
+                    out.append((d, own, r))
+            yield pd.DataFrame(out, columns=["dossier_id", "l", "r"])
+
+    ordered = pairs.select("dossier_id", "l", "r", "score").repartition("dossier_id").sortWithinPartitions("dossier_id", "l", F.desc("score"), "r")
+    return ordered.mapInPandas(assign, "dossier_id bigint, l int, r int")
 
 
 def line_verdicts(lines: DataFrame, references: DataFrame, whole: bool = True) -> DataFrame:
