@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -74,3 +75,35 @@ def test_mixing_query(spark):
     assert rows.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     sums = rows.agg(F.sum("tokens").alias("all"), F.sum(F.when(F.col("kept"), F.col("tokens"))).alias("kept"), F.sum(F.col("tokens") * F.col("probability")).alias("expected"), F.min("probability").alias("low"), F.max("probability").alias("high")).first()
     assert abs(sums["expected"] / sums["all"] - 0.6) < 1e-6 and 0 <= sums["low"] and sums["high"] <= 1 and 0.4 < sums["kept"] / sums["all"] < 0.8
+
+
+def test_substring_query_finds_planted_passages(spark, tmp_path):
+    """Recall against what was planted: exact and fuzzy passages, each in three documents at random places."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    docs = [[word() for _ in range(rng.randint(50, 300))] for _ in range(80)]
+    planted = []
+    for k in range(30):
+        passage = [word() for _ in range(rng.randint(60, 100))]
+        for doc in sorted(rng.sample(range(80), 3)):
+            own = list(passage)
+            for at in rng.sample(range(len(own)), k % 3):
+                own[at] = word()
+            planted.append([k, doc, own])
+    spans = {}
+    for doc in range(80):
+        for k, d, own in planted:
+            if d == doc:
+                spans[k, doc] = len(docs[doc]), len(docs[doc]) + len(own)
+                docs[doc] += own + [word() for _ in range(20)]
+    spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op3_substring_dedup"](spark, str(tmp_path)).collect()
+    found, all_ = 0, 0
+    for (k, doc), (start, end) in spans.items():
+        if any(k2 == k and d < doc for k2, d in spans):
+            all_ += 1
+            found += any(r.doc_id == doc and min(r.end_word, end) - max(r.start_word, start) >= 0.9 * (end - start) for r in rows)
+    assert found >= 0.95 * all_
+    for r in rows:  # nothing is reported that is not as similar as it says
+        a, b = docs[r.doc_id][r.start_word : r.end_word], docs[r.source_doc_id][r.source_start : r.source_end]
+        assert len(a) >= 50 and len(set(a) & set(b)) >= 0.7 * len(set(a))
