@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesto.functions import scalars, texts
-from attesto.operators import quality
+from attesto.operators import quality, typed
 from attesto.plans.registry import query
 from attesto.sources.tables import table
 
@@ -258,3 +258,19 @@ def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = files.select("dossier_id", F.lit("CUSTOM-01").alias("code"), F.lit("AVERTISSEMENT").alias("severity"), (F.col("dossier_id") % 6 != 0).alias("applique")).unionAll(files.select("dossier_id", F.lit("CUSTOM-02"), F.lit("NON_CONFORME"), F.lit(True)))
     answers = files.select("dossier_id", F.get(F.array(*map(F.lit, ANSWERS)), (F.col("dossier_id") % 5).cast("int")).alias("reponse"))
     return quality.custom_verdicts(rules, answers).select("dossier_id", "regle", "statut")
+
+
+@query(f"""SELECT o_orderkey AS document_id, {_chosen(["F-2024-7", "?", "ZX-999", None, None])} AS numero, {_chosen(["Alpha", "Beta", None, None, None])} AS fournisseur, {_chosen(["001509176000008", "12", None, None, None])} AS ice, CAST({_chosen(["2024-05-06", None, None, None, None])} AS DATE) AS jour,
+    {_chosen([1000.0, None, 90.0, None, None])}::DOUBLE AS ht, {_chosen([200.0, None, 10.0, None, None])}::DOUBLE AS tva, {_chosen([1200.0, -5.0, 110.0, None, None])}::DOUBLE AS ttc FROM orders WHERE o_orderkey % 5 < 3""")
+def typed_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = typed.invoices(_extracted(spark, sf_dir))
+    return rows.select("document_id", "numero", "fournisseur", "ice", "jour", *[F.col(c).cast("double").alias(c) for c in ("ht", "tva", "ttc")])
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT DISTINCT t FROM d WHERE doc_id % 3 = 0)
+    SELECT doc_id, t IN (SELECT t FROM c) AS en_cache FROM d""")
+def cached_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose content another pass has recognised already."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("texte")).withColumn("sha256", F.sha2("texte", 256))
+    cache = typed.cache_rows(docs.filter("doc_id % 3 = 0"), 2).unionByName(typed.cache_rows(docs.filter("doc_id % 3 = 1"), 1))
+    return typed.with_cached_text(docs.select("doc_id", "sha256"), cache, 2).select("doc_id", "en_cache")
