@@ -23,7 +23,8 @@ def oracle(folder: str, sql: str) -> tuple[list[str], list[tuple]]:
     db = duckdb.connect()
     for t in TABLES:
         path = f"{folder}/{t}.parquet"
-        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+        if os.path.exists(path):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     done = db.execute(sql)
     names = [d[0] for d in done.description]
     return sorted(names), rows(names, done.fetchall())
