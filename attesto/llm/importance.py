@@ -114,8 +114,8 @@ def _grams(chunks: DataFrame, dictionary: DataFrame, longest: int) -> tuple[Data
     found = chunks.filter("not is_text").select("chunk", "number", "n", "word").join(dictionary, "word")
     if longest == 1:
         return texts, found.select("chunk", "number", F.array("word_id").alias("gram"), "n")
-    words = found.select("chunk", "number", "word_id")
-    made = stage(texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(_tuples(longest), f"{CHUNK_ROWS}, gram array<bigint>"), "importance-grams", "zstd")
+    words = found.select(F.col("chunk").alias("own_chunk"), "number", "word_id")
+    made = stage(texts.groupBy("chunk").cogroup(words.groupBy("own_chunk")).applyInPandas(_tuples(longest), f"{CHUNK_ROWS}, gram array<bigint>"), "importance-grams", "zstd")
     return made.filter("is_text").select("chunk", "id", "n_words", "numbers"), made.filter("not is_text").select("chunk", "number", "gram", "n")
 
 

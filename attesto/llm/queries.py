@@ -217,12 +217,14 @@ ORACLE_SQL: dict[str, str] = {
         ), rows_after AS (
             SELECT conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role, CASE x WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
             FROM marked, unnest(range(CASE x WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(i)
+        ), numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM rows_after
         ), faulty AS (
-            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS k,
                    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
-                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 'd'
+                        WHEN nth > 1 THEN 'd'
                         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault
-            FROM rows_after
+            FROM numbered
         ), seen AS (
             SELECT *, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) || role[1] AS pair FROM faulty
         ), whole AS (
