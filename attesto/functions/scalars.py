@@ -38,7 +38,7 @@ def valid_ice(c: Column) -> Column:
 
 def match_reference(a: Column, b: Column) -> Column:
     """Whether two document references agree: punctuation, case and leading zeros aside, equal or one inside the other (four characters at least)."""
-    bare = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"[\s\-_/.]+", ""), "^0+", ""))
+    bare = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"[\s\-_/.']+", ""), "^0+", ""))
     x, y = bare(a), bare(b)
     short = F.when(F.length(x) < F.length(y), x).otherwise(y)
     long = F.when(F.length(x) < F.length(y), y).otherwise(x)

@@ -9,33 +9,46 @@ from attesto.functions import scalars
 from attesto.operators.verdicts import KO, OK
 
 
-def _both(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in columns])
-
-
 def duplicate_verdicts(invoices: DataFrame, as_of: str, percent: float = 1.0, days: int = 3, months: int = 12) -> DataFrame:
     """One row for each invoice: facture_id, dossier_id, statut, doublons, compensations.
 
-    ``invoices``: facture_id, dossier_id, numero, fournisseur, canonique (or null), ttc, jour. By number: other files
-    since ``months`` before ``as_of`` (or undated), and the own file; a pair of which one is a credit note compensates.
-    By amount: invoices that are no credit notes, with another number, the same supplier, amounts within ``percent``
-    and dates within ``days``. The band is joined on supplier and a bucket of days, so it never is a nested loop.
+    ``invoices``: facture_id, dossier_id, numero, fournisseur, canonique (or null), ttc, jour, and genre (the kind read from
+    the document) if there is one. By number: other files since ``months`` before ``as_of`` (or undated), and the own file; a
+    pair of which one is a credit note compensates. These are counted by number and never paired, so a number that all
+    invoices bear costs no more than any other. By amount: an invoice of a positive amount that is no credit note meets
+    those with another number, amounts within ``percent`` and dates within ``days`` of the same supplier: the same canonical
+    one if it has one, else the same name; inside a file the name also counts where either side has no canonical supplier. The band
+    is joined on supplier, days and amounts in slots, so only neighbours meet.
     """
-    key = F.nullif(F.lower(F.trim("numero")), F.lit(""))
-    who = F.coalesce(F.concat(F.lit("#"), F.col("canonique").cast("string")), F.nullif(F.lower(F.trim("fournisseur")), F.lit("")))
-    rows = invoices.select("facture_id", "dossier_id", "ttc", "jour", key.alias("cle"), who.alias("qui"), scalars.is_credit_note(F.col("numero"), F.col("ttc")).alias("avoir"))
-    mine, other = _both(rows, "a_", rows.columns), rows
-    recent = F.col("jour").isNull() | (F.col("jour") >= F.add_months(F.lit(as_of).cast("date"), -months))
-    same_file = F.col("a_dossier_id") == F.col("dossier_id")
-    numbered = mine.join(other, (F.col("a_cle") == F.col("cle")) & (F.col("a_facture_id") != F.col("facture_id")) & (same_file | recent))
-    numbered = numbered.select("a_facture_id", "facture_id", (F.col("a_avoir") != F.col("avoir")).alias("compense"))
-    slot = F.floor(F.datediff("jour", F.lit("1970-01-01")) / days)
-    sound = "not avoir and ttc is not null and jour is not null and qui is not null"
-    wide = _both(rows.filter(f"{sound} and ttc > 0").withColumn("slot", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: slot + d))), "a_", [*rows.columns, "slot"])
-    margin = (F.col("a_ttc") * percent / 100).cast("decimal(20,4)")
-    near = (F.abs(F.col("ttc") - F.col("a_ttc")) <= margin) & (F.abs(F.datediff("jour", "a_jour")) <= days) & ~F.coalesce(F.col("a_cle") == F.col("cle"), F.lit(False)) & (F.col("a_facture_id") != F.col("facture_id"))
-    banded = wide.join(rows.filter(sound).withColumn("slot", slot), (F.col("a_qui") == F.col("qui")) & (F.col("a_slot") == F.col("slot")) & near)
-    found = numbered.unionAll(banded.select("a_facture_id", "facture_id", F.lit(False).alias("compense")))
-    counts = found.groupBy(F.col("a_facture_id").alias("facture_id")).agg(F.count_if(~F.col("compense")).alias("doublons"), F.count_if("compense").alias("compensations"))
-    out = rows.select("facture_id", "dossier_id").join(counts, "facture_id", "left").fillna(0, ["doublons", "compensations"])
+    kind = F.col("genre") if "genre" in invoices.columns else F.lit(None).cast("string")
+    number, name = F.lower("numero"), F.lower("fournisseur")
+    rows = invoices.select(
+        "facture_id", "dossier_id", "ttc", "jour", "canonique", F.nullif(F.trim(number), F.lit("")).alias("cle"), number.alias("numero"), name.alias("nom"), F.nullif(F.trim(name), F.lit("")).alias("qui"),
+        scalars.is_credit_note(F.col("numero"), F.col("ttc"), kind).alias("avoir"), (F.col("jour").isNull() | (F.col("jour") >= F.add_months(F.lit(as_of).cast("date"), -months))).alias("recent"),
+    )
+    kinds = [F.count_if(~F.col("avoir")).alias("factures"), F.count_if("avoir").alias("avoirs")]
+    numbered = rows.filter("cle is not null")
+    everywhere = numbered.filter("recent").groupBy("cle").agg(*kinds).select("cle", F.struct("factures", "avoirs").alias("partout"))
+    in_file = numbered.filter("recent").groupBy("cle", "dossier_id").agg(*kinds).select("cle", "dossier_id", F.struct("factures", "avoirs").alias("ici"))
+    beside = numbered.groupBy("dossier_id", "numero").agg(*kinds).select("dossier_id", "numero", F.struct("factures", "avoirs").alias("meme"))
+    counted = numbered.join(everywhere, "cle", "left").join(in_file, ["cle", "dossier_id"], "left").join(beside, ["dossier_id", "numero"])
+    n = lambda part, field: F.coalesce(F.col(f"{part}.{field}"), F.lit(0))
+    others = lambda field: n("partout", field) - n("ici", field) + n("meme", field)
+    alike, unlike = F.when(F.col("avoir"), others("avoirs")).otherwise(others("factures")) - 1, F.when(F.col("avoir"), others("factures")).otherwise(others("avoirs"))
+    by_number = counted.select("facture_id", alike.alias("doublons"), unlike.alias("compensations"))
+
+    low = F.lit(1 - percent / 100)
+    day, size = F.floor(F.datediff("jour", F.lit("1970-01-01")) / days), F.floor(-F.log(F.col("ttc").cast("double")) / F.log(low) * (1 - 1e-9))
+    sound = rows.filter("not avoir and ttc > 0 and jour is not null").withColumn("tranche", day).withColumn("taille", size)
+    around = F.sequence(F.lit(-1), F.lit(1))
+    wide = sound.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns], F.explode(F.transform(around, lambda d: F.col("tranche") + d)).alias("a_tranche"), "taille")
+    wide = wide.select("*", F.explode(F.transform(around, lambda d: F.col("taille") + d)).alias("a_taille")).drop("taille")
+    margin, file = (F.col("a_ttc") * percent / 100).cast("decimal(20,4)"), F.col("a_dossier_id") == F.col("dossier_id")
+    near = (F.abs(F.col("ttc") - F.col("a_ttc")) <= margin) & (F.abs(F.datediff("jour", "a_jour")) <= days) & (F.col("a_facture_id") != F.col("facture_id")) & ~F.coalesce(F.col("a_cle").isNotNull() & (F.col("a_numero") == F.col("numero")), F.lit(False))
+    slots = (F.col("a_tranche") == F.col("tranche")) & (F.col("a_taille") == F.col("taille")) & near
+    by_id = wide.join(sound, (F.col("a_canonique") == F.col("canonique")) & slots)
+    by_name = wide.join(sound, (F.col("a_qui") == F.col("qui")) & slots & F.when(file, (F.col("a_canonique").isNull() | F.col("canonique").isNull()) & (F.col("a_nom") == F.col("nom"))).otherwise(F.col("a_canonique").isNull()))
+    banded = by_id.select("a_facture_id").unionAll(by_name.select("a_facture_id")).groupBy(F.col("a_facture_id").alias("facture_id")).agg(F.count(F.lit(1)).alias("doublons"))
+    found = by_number.unionByName(banded.withColumn("compensations", F.lit(0))).groupBy("facture_id").agg(F.sum("doublons").alias("doublons"), F.sum("compensations").alias("compensations"))
+    out = rows.select("facture_id", "dossier_id").join(found, "facture_id", "left").fillna(0, ["doublons", "compensations"])
     return out.select("facture_id", "dossier_id", F.when(F.col("doublons") > 0, KO).otherwise(OK).alias("statut"), "doublons", "compensations")

@@ -33,11 +33,12 @@ def without(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return rows.join(deleted.select(key).distinct(), key, "left_anti")
 
 
-def retyped(documents: DataFrame, changes: DataFrame) -> DataFrame:
-    """Documents after a change of type: the typed fields are emptied and extraction starts again."""
-    out = documents.join(changes.select("document_id", F.col("type").alias("nouveau")), "document_id", "left")
-    changed = F.coalesce(F.col("nouveau") != F.col("type"), F.lit(False))
-    return out.select("document_id", F.coalesce("nouveau", "type").alias("type"), F.when(~changed, F.col("montant")).alias("montant"), F.when(changed, "EN_ATTENTE").otherwise("EXTRAIT").alias("statut_extraction"))
+def retyped(documents: DataFrame, changes: DataFrame, typed: tuple[str, ...] = ("montant",)) -> DataFrame:
+    """Documents after a change of type: the ``typed`` fields are emptied and extraction starts again; all others stay as they are."""
+    nouveau = changes.select(F.col("document_id").alias("__changed"), F.col("type").alias("__type"))
+    changed = F.coalesce(F.col("__type") != F.col("type"), F.lit(False))
+    value = {name: F.when(~changed, F.col(name)) for name in typed} | {"type": F.coalesce("__type", "type"), "statut_extraction": F.when(changed, "EN_ATTENTE").otherwise(F.col("statut_extraction"))}
+    return documents.join(nouveau, F.col("document_id") == F.col("__changed"), "left").select(*[value.get(n, F.col(n)).alias(n) for n in documents.columns])
 
 
 def overridden(verdicts: DataFrame, overrides: DataFrame) -> DataFrame:

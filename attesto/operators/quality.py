@@ -186,10 +186,12 @@ def custom_verdicts(rules: DataFrame, answers: DataFrame) -> DataFrame:
     """Verdicts of prompt rules from a model's JSON answers: one row for each rule and file it was put to.
 
     ``rules``: code, severity, applique (does it apply to the file), dossier_id; ``answers``: dossier_id, reponse, an object
-    with ``verdicts`` of code, statut, detail, needsMoreInfo. No answer is a warning; severity caps failures.
+    with ``verdicts`` of code, statut, detail, needsMoreInfo. The last verdict of a code counts, no answer is a warning, severity
+    caps failures.
     """
     schema = "struct<verdicts:array<struct<code:string,statut:string,detail:string,needsMoreInfo:boolean>>>"
-    said = answers.select("dossier_id", F.inline(F.from_json("reponse", schema)["verdicts"])).dropDuplicates(["dossier_id", "code"])
+    each = answers.select("dossier_id", F.posexplode(F.from_json("reponse", schema)["verdicts"]).alias("place", "v"))
+    said = each.groupBy("dossier_id", F.col("v.code").alias("code")).agg(F.max_by("v", "place").alias("v")).select("dossier_id", "code", "v.statut", "v.detail", "v.needsMoreInfo")
     status = F.upper(F.coalesce("statut", F.lit(WARN)))
     status = F.when(~status.isin(OK, KO, WARN, NA), WARN).when((status == KO) & (F.col("severity") == WARN), WARN).otherwise(status)
     out = rules.join(said, ["dossier_id", "code"], "left")

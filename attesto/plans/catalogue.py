@@ -128,11 +128,13 @@ def engagement_consumption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS dossier_id, lag(CAST(o_orderdate AS DATE)) OVER w AS precedente, lag(CAST(o_totalprice AS DECIMAL(18,2))) OVER w::DOUBLE AS precedent_ttc
-FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey)""".replace(" OVER w::DOUBLE", " OVER w"))
+SELECT dossier_id, max(j) OVER (PARTITION BY f ORDER BY j RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS precedente, lag(ttc) OVER (PARTITION BY f ORDER BY dossier_id) AS precedent_ttc
+FROM (SELECT o_orderkey AS dossier_id, o_custkey % 20 AS f, CAST(o_orderdate AS DATE) AS j, CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS ttc FROM orders)""")
 def previous_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("dossier_id"), "o_custkey", F.to_date("o_orderdate").alias("jour"), ttc().alias("ttc"))
-    return crossfile.previous_payment(files, "o_custkey", "jour", "ttc").select("dossier_id", "precedente", "precedent_ttc")
+    """Few engagements with many files each, so that files of one day and files without an amount occur."""
+    amount = F.when(F.col("o_orderkey") % 9 > 0, ttc())
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("dossier_id"), (F.col("o_custkey") % 20).alias("engagement"), F.to_date("o_orderdate").alias("jour"), amount.alias("ttc"))
+    return crossfile.previous_payment(files, "engagement", "jour", "dossier_id", "ttc").select("dossier_id", "precedente", "precedent_ttc")
 
 
 @query("""

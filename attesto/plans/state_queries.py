@@ -16,13 +16,17 @@ from attesto.sources.tables import table
 INVOICES = """SELECT o_orderkey * 2 AS facture_id, o_orderkey AS dossier_id, 'F' || CAST(o_orderkey AS STRING) AS numero, 'Client ' || CAST(o_custkey % 40 AS STRING) AS fournisseur, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 40 END AS canonique,
     CAST(o_totalprice AS DECIMAL(18,2)) AS ttc, CAST(o_orderdate AS DATE) AS jour FROM orders
 UNION ALL SELECT o_orderkey * 2 + 1, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey ELSE o_orderkey + 1 END, CASE o_orderkey % 4 WHEN 0 THEN ' f' || CAST(o_orderkey AS STRING) WHEN 1 THEN 'AVOIR ' || CAST(o_orderkey AS STRING) WHEN 2 THEN 'G' || CAST(o_orderkey AS STRING) END,
-    'CLIENT ' || CAST(o_custkey % 40 AS STRING), CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 40 END, CASE WHEN o_orderkey % 8 = 4 THEN -CAST(o_totalprice AS DECIMAL(18,2)) ELSE CAST(o_totalprice AS DECIMAL(18,2)) + 10 END, CASE WHEN o_orderkey % 16 = 7 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 6 AS INT) END FROM orders"""
+    'CLIENT ' || CAST(o_custkey % 40 AS STRING), CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 7 <> 2 THEN o_custkey % 40 WHEN o_orderkey % 7 = 3 THEN 100 END, CASE WHEN o_orderkey % 8 = 4 THEN -CAST(o_totalprice AS DECIMAL(18,2)) ELSE CAST(o_totalprice AS DECIMAL(18,2)) + 10 END, CASE WHEN o_orderkey % 16 = 7 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 6 AS INT) END FROM orders"""
 
 
-@query(f"""WITH i AS (SELECT *, nullif(lower(trim(numero)), '') AS cle, coalesce('#' || CAST(canonique AS VARCHAR), nullif(lower(trim(fournisseur)), '')) AS qui,
+@query(f"""WITH i AS (SELECT *, nullif(lower(trim(numero)), '') AS cle,
         coalesce(ttc < 0, false) OR regexp_matches(coalesce(numero, ''), '(?i)\\b(avoir|annul|annulation|rectif|rectificatif|av-|cn-|credit\\s*note|note\\s*de\\s*credit)\\b') AS avoir FROM ({INVOICES})),
-    p AS (SELECT a.facture_id AS f, a.avoir <> b.avoir AS compense FROM i a JOIN i b ON a.cle = b.cle AND a.facture_id <> b.facture_id WHERE a.dossier_id = b.dossier_id OR b.jour IS NULL OR b.jour >= DATE '1997-01-01'
-        UNION ALL SELECT a.facture_id, false FROM i a JOIN i b ON a.qui = b.qui AND a.facture_id <> b.facture_id WHERE NOT a.avoir AND NOT b.avoir AND a.ttc > 0 AND abs(b.ttc - a.ttc) <= CAST(a.ttc * 0.01 AS DECIMAL(20,4)) AND abs(date_diff('day', a.jour, b.jour)) <= 3 AND NOT coalesce(a.cle = b.cle, false)),
+    p AS (SELECT a.facture_id AS f, a.avoir <> b.avoir AS compense FROM i a JOIN i b ON a.cle = b.cle AND a.dossier_id <> b.dossier_id WHERE b.jour IS NULL OR b.jour >= DATE '1997-01-01'
+        UNION ALL SELECT a.facture_id, a.avoir <> b.avoir FROM i a JOIN i b ON a.dossier_id = b.dossier_id AND lower(a.numero) = lower(b.numero) AND a.facture_id <> b.facture_id WHERE a.cle IS NOT NULL
+        UNION ALL SELECT a.facture_id, false FROM i a JOIN i b ON b.jour BETWEEN a.jour - 3 AND a.jour + 3 AND a.facture_id <> b.facture_id
+        WHERE NOT a.avoir AND NOT b.avoir AND a.ttc > 0 AND abs(b.ttc - a.ttc) <= CAST(a.ttc * 0.01 AS DECIMAL(20,4)) AND NOT coalesce(a.cle IS NOT NULL AND lower(a.numero) = lower(b.numero), false)
+          AND CASE WHEN a.dossier_id <> b.dossier_id THEN CASE WHEN a.canonique IS NOT NULL THEN b.canonique IS NOT DISTINCT FROM a.canonique ELSE lower(trim(a.fournisseur)) = lower(trim(b.fournisseur)) END
+                   WHEN a.canonique IS NOT NULL AND b.canonique IS NOT NULL THEN a.canonique = b.canonique ELSE trim(a.fournisseur) <> '' AND lower(a.fournisseur) = lower(b.fournisseur) END),
     n AS (SELECT f, count(*) FILTER (NOT compense) AS d, count(*) FILTER (compense) AS c FROM p GROUP BY 1)
     SELECT facture_id, dossier_id, CASE WHEN coalesce(d, 0) > 0 THEN 'NON_CONFORME' ELSE 'CONFORME' END AS statut, coalesce(d, 0) AS doublons, coalesce(c, 0) AS compensations FROM i LEFT JOIN n ON f = facture_id""")
 def rule_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +124,12 @@ def cascade_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.agg(F.count(F.lit(1)).alias("nb"), F.sum("document_id").alias("controle"))
 
 
-@query(over("SELECT document_id, CASE WHEN pages > 40 THEN 'FACTURE' ELSE type END AS type, CASE WHEN pages > 40 AND type <> 'FACTURE' THEN NULL ELSE montant END::DOUBLE AS montant, CASE WHEN pages > 40 AND type <> 'FACTURE' THEN 'EN_ATTENTE' ELSE 'EXTRAIT' END AS statut_extraction FROM documents_", "documents"))
+@query(over("""SELECT document_id, fichier, CASE WHEN pages > 40 THEN 'FACTURE' ELSE type END AS type, CASE WHEN pages > 40 AND type <> 'FACTURE' THEN NULL ELSE montant END::DOUBLE AS montant,
+    CASE WHEN pages > 40 AND type <> 'FACTURE' THEN 'EN_ATTENTE' WHEN extrait THEN 'EXTRAIT' ELSE 'ERREUR' END AS statut_extraction FROM documents_""", "documents"))
 def retyped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = view(spark, sf_dir, "documents")
-    return mutations.retyped(docs, docs.filter("pages > 40").select("document_id", F.lit("FACTURE").alias("type"))).withColumn("montant", F.col("montant").cast("double"))
+    docs = view(spark, sf_dir, "documents").withColumn("statut_extraction", F.when(F.col("extrait"), "EXTRAIT").otherwise("ERREUR"))
+    after = mutations.retyped(docs, docs.filter("pages > 40").select("document_id", F.lit("FACTURE").alias("type")))
+    return after.select("document_id", "fichier", "type", F.col("montant").cast("double").alias("montant"), "statut_extraction")
 
 
 @query(over("SELECT dossier_id, regle, CASE WHEN duree > 30 THEN 'CONFORME' ELSE statut END AS statut, CASE WHEN duree > 30 THEN coalesce(statut_original, statut) ELSE statut_original END AS statut_original FROM verdicts_", "verdicts"))

@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 
 from attesto.functions import scalars
-from attesto.operators import crossfile, rules
+from attesto.operators import crossfile, duplicates, quality, rules
 from attesto.operators.verdicts import emit
 from attesto.plans.context import COLUMNS, complete
 from pyspark.sql import functions as F
@@ -92,3 +92,62 @@ def test_rule_switches_and_reruns(spark):
     assert {(r[0], r[1]) for r in on.select("dossier_id", "regle").collect()} == {(1, "R02"), (2, "R01"), (2, "CUSTOM-1")}
     new = spark.createDataFrame([(2, "R09", "CONFORME")], v.schema)
     assert {(r[0], r[1]) for r in crossfile.replace_verdicts(v, new).select("dossier_id", "regle").collect()} == {(1, "R01"), (1, "R02"), (2, "CUSTOM-1"), (2, "R09")}
+
+
+@pytest.mark.parametrize(
+    ("system", "human", "expected"),
+    [("NON_CONFORME", True, "NON_CONFORME"), ("AVERTISSEMENT", True, "AVERTISSEMENT"), ("NON_APPLICABLE", True, "CONFORME"), ("CONFORME", True, "CONFORME"), ("CONFORME", False, "NON_CONFORME"), ("AVERTISSEMENT", None, "AVERTISSEMENT"), ("NON_APPLICABLE", None, "NON_APPLICABLE")],
+)
+def test_a_yes_never_lifts_a_warning(spark, system, human, expected):
+    assert spark.range(1).select(rules.merge_status(F.lit(system), F.lit(human).cast("boolean"))).first()[0] == expected
+
+
+def test_apostrophes_are_no_part_of_a_reference(spark):
+    assert spark.range(1).select(scalars.match_reference(F.lit("L'ABC-12"), F.lit("LABC12"))).first()[0]
+
+
+INVOICE = "facture_id int, dossier_id int, numero string, fournisseur string, canonique int, ttc decimal(18,2), jour date, genre string"
+
+
+def duplicates_of(spark, *rows) -> dict[int, tuple]:
+    given = [(i, *r, *[None] * (7 - len(r))) for i, r in enumerate(rows)]
+    return {r.facture_id: (r.doublons, r.compensations) for r in duplicates.duplicate_verdicts(spark.createDataFrame(given, INVOICE), "2024-06-01").collect()}
+
+
+def test_duplicates_with_mixed_canonical_suppliers(spark):
+    """Of each pair one side has a canonical supplier; the side without one looks by name among all, the other by its id only."""
+    day = D(2024, 5, 1)
+    got = duplicates_of(spark, (1, "A1", "Alpha", 7, dec(1000), day), (2, "A2", "ALPHA ", None, dec(1005), day), (3, "B1", "Beta", 9, dec(50), day), (3, "B2", "beta", None, dec(50), day), (4, "C", "Gamma", 7, dec(999), D(2024, 5, 4)))
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 0), 3: (1, 0), 4: (1, 0)}
+
+
+def test_duplicates_by_number(spark):
+    got = duplicates_of(
+        spark, (1, "F-1", "x", None, None, D(2024, 5, 1)), (2, " f-1 ", "y", None, None, None), (3, "F-1", "z", None, None, D(2020, 1, 1)),  # the last is too old to be found, and finds
+        (4, "G", "x", None, dec(10), D(2024, 5, 1)), (4, "g", "x", None, dec(-10), D(2024, 5, 1)), (5, " ", "x", None, dec(10), D(2024, 5, 9)), (6, "H", "u", None, dec(5), D(2024, 5, 1), "Avoir"), (7, "H", "v", None, dec(5), D(2024, 5, 1)),
+    )
+    assert got == {0: (1, 0), 1: (1, 0), 2: (2, 0), 3: (0, 1), 4: (0, 1), 5: (0, 0), 6: (0, 1), 7: (0, 1)}
+
+
+def test_a_number_that_all_bear_is_counted_without_pairs(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("int").alias("facture_id"), F.col("id").cast("int").alias("dossier_id"), F.lit("1").alias("numero"), F.col("id").cast("string").alias("fournisseur"), F.lit(None).cast("int").alias("canonique"), F.lit(None).cast("decimal(18,2)").alias("ttc"), F.lit(None).cast("date").alias("jour"))
+    assert duplicates.duplicate_verdicts(rows, "2024-06-01").agg(F.min("doublons"), F.max("doublons")).first()[:] == (19_999, 19_999)
+
+
+def test_previous_payment_is_strictly_earlier(spark):
+    rows = [(1, 1, D(2024, 1, 1), dec(10)), (2, 1, D(2024, 1, 1), None), (3, 1, D(2024, 3, 1), dec(30)), (4, 1, None, dec(40)), (5, 1, D(2023, 1, 1), dec(50)), (6, None, D(2024, 5, 5), dec(60)), (7, None, D(2024, 5, 6), dec(70))]
+    df = spark.createDataFrame(rows, "dossier_id int, e int, jour date, ttc decimal(18,2)")
+    got = {r.dossier_id: (r.precedente, r.precedent_ttc) for r in crossfile.previous_payment(df, "e", "jour", "dossier_id", "ttc").collect()}
+    assert got == {1: (D(2023, 1, 1), None), 2: (D(2023, 1, 1), dec(10)), 3: (D(2024, 1, 1), None), 4: (None, dec(30)), 5: (None, dec(40)), 6: (None, None), 7: (None, None)}
+
+
+def test_order_engagements_of_one_supplier_add_up(spark):
+    rows = [(1, "Alpha", D(2024, 1, 1), dec(100)), (2, " ALPHA", D(2023, 12, 1), dec(50)), (3, "alpha", D(2022, 1, 1), dec(900)), (4, "Beta", D(2024, 1, 1), None), (5, " ", D(2024, 1, 1), dec(5))]
+    out = crossfile.split_orders(spark.createDataFrame(rows, "engagement_id int, fournisseur string, jour date, montant decimal(18,2)"), "2024-06-01")
+    assert {r.engagement_id: r.cumul for r in out.collect()} == {1: dec(150), 2: dec(150), 3: dec(1050), 4: 0, 5: None}
+
+
+def test_the_last_answer_of_a_code_counts(spark):
+    rules_ = spark.createDataFrame([(1, "C", "AVERTISSEMENT", True)], "dossier_id int, code string, severity string, applique boolean")
+    said = spark.createDataFrame([(1, '{"verdicts":[{"code":"C","statut":"NON_CONFORME"},{"code":"C","statut":"CONFORME","detail":"last"}]}')], "dossier_id int, reponse string")
+    assert [(r.statut, r.detail) for r in quality.custom_verdicts(rules_, said).collect()] == [("CONFORME", "last")]
