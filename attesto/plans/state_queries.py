@@ -56,33 +56,68 @@ def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- suppliers ---------------------------------------------------------------------------------------------------
-CANONICAL = "SELECT s_suppkey AS canonique_id, 'fourniture ' || CAST(s_suppkey + 100000 AS STRING) AS nom_normalise, CASE WHEN s_suppkey % 5 = 0 THEN lpad(CAST(s_suppkey AS STRING), 15, '0') END AS ice FROM supplier"
-_NAME = """CASE o_orderkey % 6 WHEN 0 THEN 'Fournitures ' || CAST({s} + 100000 AS STRING) WHEN 1 THEN 'FOURNITURE ' || CAST({s} + 100000 AS STRING) || ' S.A.R.L' WHEN 2 THEN 'Alias-' || CAST({s} AS STRING) WHEN 3 THEN 'Inconnu ' || CAST({s} AS STRING)
-    WHEN 4 THEN 'Autre nom ' || CAST({s} AS STRING) END"""
+def _word(x: str) -> str:
+    return f"translate(substr(md5({x}), 1, 9), '0123456789', 'ghijklmnop')"
+
+
+#: Suppliers of two invented words each, an alias for each, and arriving names: a letter more, the name itself, the alias, new names with a common word,
+#: an ICE that is known or becomes known, words swapped, and one name inside another.
+_S, _G = "CAST(s AS STRING)", "CAST(g AS STRING)"
+_NAMED = f"{_word(f"'c' || {_S}")} || ' ' || {_word(f"'d' || {_S}")}"
+CANONICAL = f"SELECT s AS canonique_id, {_NAMED} AS nom_normalise, CASE WHEN s % 5 = 0 THEN lpad(CAST(s AS STRING), 15, '0') END AS ice, s * 7 % 100 AS rang FROM (SELECT s_suppkey AS s FROM supplier)"
+ALIASES = f"SELECT s AS canonique_id, 'alias ' || {_word(f"'e' || {_S}")} AS nom_normalise FROM (SELECT s_suppkey AS s FROM supplier)"
+ARRIVING = f"""SELECT k AS nom_id, CASE k % 7 WHEN 0 THEN {_word(f"'c' || {_S}")} || 's ' || {_word(f"'d' || {_S}")} WHEN 1 THEN upper({_NAMED}) || ' S.A.R.L' WHEN 2 THEN 'Alias-' || {_word(f"'e' || {_S}")} WHEN 3 THEN 'Maison ' || {_word(f"'m' || {_G}")}
+        WHEN 4 THEN 'Autre ' || {_word(f"'o' || CAST(k AS STRING)")} WHEN 5 THEN {_word(f"'m' || {_G}")} || ' maison' ELSE 'Grande Société ' || {_NAMED} END AS nom,
+    CASE WHEN k % 7 = 4 THEN CASE WHEN s % 5 = 0 THEN lpad(CAST(s AS STRING), 15, '0') ELSE '9' || lpad(CAST(k % 50 AS STRING), 14, '0') END WHEN k % 11 = 5 THEN '12 34' END AS ice
+    FROM (SELECT c_custkey AS k, c_custkey % (SELECT count(*) FROM supplier) AS s, CAST(floor(c_custkey / 7) AS BIGINT) % 90 AS g FROM customer)"""
+FIRST_ID = 1_000_000
+_CONTAINED = "CASE WHEN least(length(n.cle), length(x.n)) >= 4 AND (contains(n.cle, x.n) OR contains(x.n, n.cle)) THEN 0.80 + 0.15 * least(length(n.cle), length(x.n)) / greatest(length(n.cle), length(x.n)) ELSE 0 END"
+#: Letters of the name that are matched, in order, and the other name with these letters marked; the built-in similarity rounds half transpositions down, so it
+#: is never below this one and serves to skip pairs.
+_MATCHED = """list_reduce(list_concat([{'i': 0, 'l': '', 'm': '', 't': x.n}], list_transform(range(1, length(n.cle) + 1), lambda i: {'i': i, 'l': n.cle[i], 'm': '', 't': ''})), lambda p, e:
+    {'i': e.i, 'l': e.l, 'm': p.m || CASE WHEN contains(p.t[greatest(1, e.i - {w}):e.i + {w}], e.l) THEN e.l ELSE '' END,
+     't': CASE WHEN contains(p.t[greatest(1, e.i - {w}):e.i + {w}], e.l) THEN p.t[:greatest(1, e.i - {w}) + instr(p.t[greatest(1, e.i - {w}):e.i + {w}], e.l) - 2] || '~' || p.t[greatest(1, e.i - {w}) + instr(p.t[greatest(1, e.i - {w}):e.i + {w}], e.l):] ELSE p.t END})
+    """.replace("{w}", "greatest(greatest(length(n.cle), length(x.n)) // 2 - 1, 0)")
+_JARO_WINKLER = f"""(list_transform(list_transform([{_MATCHED}], lambda p: {{'m': length(p.m)::DOUBLE, 'p': len(list_filter([1, 2, 3, 4], lambda k: k <= length(x.n) AND n.cle[:k] = x.n[:k])),
+        't': len(list_filter(range(1, length(p.m) + 1), lambda k: p.m[k] <> x.n[list_filter(range(1, length(x.n) + 1), lambda j: p.t[j] = '~')[k]])) / 2.0}}),
+    lambda q: {{'p': q.p, 'j': CASE WHEN q.m = 0 THEN 0 ELSE (q.m / length(n.cle) + q.m / length(x.n) + (q.m - q.t) / q.m) / 3 END}})[1])"""
+_JARO_WINKLER = f"(list_transform([{_JARO_WINKLER}], lambda z: z.j + z.p * 0.1 * (1 - z.j))[1])"
+#: The arrivals one after the other, with all suppliers and aliases so far.
+FOLD_SQL = f"""WITH RECURSIVE n AS (
+    SELECT row_number() OVER (ORDER BY nom_id) AS i, nom_id, CASE WHEN length(regexp_replace(ice, '[^0-9]', '', 'g')) = 15 THEN ice END AS ice,
+           trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(replace(nom, '.', ''), 'é', 'e')), '[^a-z0-9]+', ' ', 'g'), '\\b(sarl|sas|sa|sprl|eurl|sci|gie)\\b', ' ', 'g'), ' +', ' ', 'g')) AS cle FROM ({ARRIVING})
+), fold AS (
+    SELECT 0::BIGINT AS i, (SELECT list({{'id': canonique_id, 'n': nom_normalise, 'ice': ice, 'u': rang - 1000000}}) FROM ({CANONICAL})) AS c, (SELECT list({{'id': canonique_id, 'n': nom_normalise}}) FROM ({ALIASES})) AS a,
+           0::BIGINT AS nom_id, '' AS cle, 0::BIGINT AS canonique_id, '' AS methode, 0::DOUBLE AS score, false AS neuf
+    UNION ALL
+    SELECT i, CASE WHEN methode = 'NOUVEAU' THEN list_append(c, {{'id': id, 'n': cle, 'ice': ice, 'u': i}}) ELSE list_transform(c, lambda x: {{'id': x.id, 'n': x.n, 'ice': x.ice, 'u': CASE WHEN x.id = id THEN i ELSE x.u END}}) END,
+           CASE WHEN neuf THEN list_append(a, {{'id': id, 'n': cle}}) ELSE a END, nom_id, cle, id, methode, CASE methode WHEN 'SIMILAIRE' THEN best.s WHEN 'NOUVEAU' THEN NULL ELSE 1 END, neuf
+    FROM (
+        SELECT *, coalesce(by_ice, by_name, by_alias, best.id, {FIRST_ID} + nom_id) AS id, by_alias IS NULL AS neuf,
+               CASE WHEN by_ice IS NOT NULL THEN 'ICE' WHEN by_name IS NOT NULL THEN 'NOM' WHEN by_alias IS NOT NULL THEN 'ALIAS' WHEN best.id IS NOT NULL THEN 'SIMILAIRE' ELSE 'NOUVEAU' END AS methode
+        FROM (
+            SELECT n.i, n.nom_id, n.cle, n.ice, c, a, list_filter(c, lambda x: x.ice = n.ice)[1].id AS by_ice, list_filter(c, lambda x: x.n = n.cle)[1].id AS by_name, list_filter(a, lambda x: x.n = n.cle)[1].id AS by_alias,
+                   list_max(list_transform(list_filter(list_transform(c, lambda x: {{'u': x.u, 'id': x.id, 's': CASE WHEN n.cle = '' OR x.n = '' THEN 0 WHEN jaro_winkler_similarity(n.cle, x.n) < 0.82 THEN {_CONTAINED}
+                       ELSE greatest({_JARO_WINKLER}, {_CONTAINED}) END}}), lambda y: y.s >= 0.82), lambda y: {{'k': CASE WHEN y.s >= 0.97 THEN 2 ELSE y.s END, 'u': y.u, 'id': y.id, 's': y.s}})) AS best
+            FROM fold JOIN n ON n.i = fold.i + 1)))
+"""
 
 
-@query(f"""WITH n AS (SELECT o_orderkey AS nom_id, o_orderkey % 6 AS c, o_custkey % (SELECT count(*) FROM supplier) AS s FROM orders)
-    SELECT nom_id, CASE WHEN c = 0 OR c = 1 OR c = 2 THEN s WHEN c = 4 AND s % 5 = 0 THEN s END AS canonique_id, CASE c WHEN 1 THEN 'NOM' WHEN 2 THEN 'ALIAS' WHEN 4 THEN CASE WHEN s % 5 = 0 THEN 'ICE' ELSE 'NOUVEAU' END WHEN 0 THEN 'SIMILAIRE' ELSE 'NOUVEAU' END AS methode FROM n""")
-def resolved_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names, canonicals, aliases = _names(spark, sf_dir)
-    return suppliers.resolve(names, canonicals, aliases).select("nom_id", "canonique_id", "methode")
+def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    named = lambda sql: sql.replace("FROM supplier", "FROM {supplier}").replace("FROM customer", "FROM {customer}")
+    return spark.sql(named(ARRIVING), supplier=supplier, customer=customer), spark.sql(named(CANONICAL), supplier=supplier), spark.sql(named(ALIASES), supplier=supplier)
 
 
-def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    supplier = table(spark, sf_dir, "supplier")
-    canonicals = spark.sql(CANONICAL.replace("FROM supplier", "FROM {supplier}"), supplier=supplier)
-    aliases = canonicals.select(F.concat(F.lit("alias "), F.col("canonique_id").cast("string")).alias("nom_normalise"), "canonique_id")
-    n = supplier.count()
-    orders = table(spark, sf_dir, "orders").withColumn("s", F.col("o_custkey") % n)
-    ice = F.when((F.col("o_orderkey") % 6 == 4) & (F.col("s") % 5 == 0), F.lpad(F.col("s").cast("string"), 15, "0"))
-    return orders.select(F.col("o_orderkey").alias("nom_id"), F.expr(_NAME.format(s="s")).alias("nom"), ice.alias("ice")), canonicals, aliases
+@query(f"{FOLD_SQL} SELECT nom_id, canonique_id, methode, round(score, 6) AS score, methode = 'SIMILAIRE' AND score < 0.97 AS a_revoir FROM fold WHERE i > 0")
+def resolved_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppliers.resolve(*_names(spark, sf_dir), FIRST_ID).select("nom_id", "canonique_id", "methode", F.round("score", 6).alias("score"), "a_revoir")
 
 
-@query("""WITH n AS (SELECT DISTINCT o_custkey % (SELECT count(*) FROM supplier) AS s, o_orderkey % 6 AS c FROM orders)
-    SELECT CAST(count(*) FILTER (c = 4 AND s % 5 = 0 OR c = 0) AS BIGINT) AS nouveaux FROM n""")
+@query(f"{FOLD_SQL} SELECT canonique_id, cle AS nom_normalise, round(score, 3) AS similarity_score, methode = 'SIMILAIRE' AND score < 0.97 AS requires_review FROM fold WHERE i > 0 AND neuf")
 def learned_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, canonicals, aliases = _names(spark, sf_dir)
-    return suppliers.new_aliases(suppliers.resolve(names, canonicals, aliases), aliases).agg(F.count(F.lit(1)).alias("nouveaux"))
+    return suppliers.new_aliases(suppliers.resolve(names, canonicals, aliases, FIRST_ID), names).drop("nom_brut")
 
 
 @query("""WITH u AS (SELECT s_nationkey AS canonique_id, s_suppkey AS nom_id, s_name AS nom, CASE s_suppkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 100 ELSE 60 END AS t FROM supplier)
