@@ -1,6 +1,6 @@
 """Target-distribution importance resampling through an integer word dictionary.
 
-Texts are cut into words and chunks (a few million characters each). A chunk lists its distinct words once and holds
+Texts are cut into words and chunks (some millions of characters each). A chunk lists its distinct words once and holds
 its texts as numbers into that list; a dictionary maps each distinct word of all texts to an integer id, so n-grams
 are tuples of ids. Each distinct tuple is put back into bytes and hashed once, its counts in the documents and in the
 target are summed, and the gain of its bucket goes back to the chunks by a join on the tuple. What is shuffled is one
@@ -28,7 +28,7 @@ from attesto.llm.scratch import bounded_batches, discard, stage
 #: Words, over UTF-8 bytes with A-Z lower-cased: runs of letters and digits of ASCII and of all bytes above it.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Bytes of text after which a chunk ends (a longer text is a chunk of its own).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 16 << 20
 #: Texts after which a chunk ends.
 CHUNK_TEXTS = 20_000
 #: Texts, then distinct features: numbers packed a text, then a row for each number.
