@@ -156,7 +156,7 @@ def containment_bonus(a: Column, b: Column) -> Column:
 
 def parse_amount_strict(c: Column) -> Column:
     """The variant of the typed rows: only blanks, letters and apostrophes are dropped, so other marks give null."""
-    bare = F.regexp_replace(c, r"[\s  \p{L}']", "")
+    bare = F.regexp_replace(c, r"[\s\u00a0\u202fA-Za-z']", "")
     return F.when(bare.rlike(r"^-?[0-9.,]+$"), parse_amount(bare))
 
 
@@ -174,6 +174,15 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(iso, F.when(part(1) != "", F.try_to_date(F.concat_ws("/", part(1), part(2), year), "d/M/yyyy")))
 
 
+def parse_date_typed(c: Column) -> Column:
+    """The variant of the typed rows: ISO, or day, month and year apart by ``/``, where a day beyond the end of its month is its last."""
+    t = F.trim(c)
+    part = lambda i: F.regexp_extract(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", i)
+    month = F.when(part(1).try_cast("int").between(1, 31), F.try_to_date(F.concat_ws("-", part(3), part(2), F.lit("1")), "yyyy-M-d"))
+    day = F.date_add(month, F.least(part(1).try_cast("int"), F.dayofmonth(F.last_day(month))) - 1)
+    return F.coalesce(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")), day)
+
+
 def parse_date_correction(c: Column) -> Column:
     """The variant of human corrections: also year first with slashes."""
     t = F.trim(c)

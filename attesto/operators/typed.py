@@ -1,13 +1,198 @@
-"""Typed rows of extracted documents, and the cache of recognised texts."""
+"""Typed rows of extracted documents and engagements, and the cache of recognised texts."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesto.functions import scalars
 from attesto.operators import quality
 
+#: The fields of each type that have a column, and how they are read.
+FIELDS = {
+    "FACTURE": {
+        "numeroFacture": "text", "dateFacture": "date", "fournisseur": "text", "client": "text", "ice": "text", "identifiantFiscal": "text", "rc": "text", "rib": "text", "ribs": "strings", "montantHT": "amount", "montantTVA": "amount",
+        "tauxTVA": "amount", "montantTTC": "amount", "devise": "upper", "dateReceptionFacture": "date", "referenceContrat": "text", "periode": "text", "typeFacture": "text",
+    },
+    "BON_COMMANDE": {"reference": "text", "dateBc": "date", "fournisseur": "text", "objet": "text", "montantHT": "amount", "montantTVA": "amount", "tauxTVA": "amount", "montantTTC": "amount", "signataire": "text", "ice": "text"},
+    "CONTRAT_AVENANT": {"referenceContrat": "text", "numeroAvenant": "text", "dateSignature": "date", "parties": "joined ,", "objet": "text", "dateEffet": "date"},
+    "ORDRE_PAIEMENT": {
+        "numeroOp": "text", "dateEmission": "date", "emetteur": "text", "natureOperation": "text", "description": "text", "beneficiaire": "text", "rib": "text", "ribs": "strings", "banque": "text", "modePaiement": "upper", "devise": "upper",
+        "signataireOrdonnateur": "trimmed", "signataireComptable": "trimmed", "montantOperation": "amount", "montantBrut": "amount", "referenceFacture": "text", "referenceBcOuContrat": "text", "referenceSage": "text",
+        "conclusionControleur": "text", "piecesJustificatives": "joined ||", "ice": "text",
+    },
+    "CHECKLIST_AUTOCONTROLE": {"reference": "text", "nomProjet": "text", "referenceFacture": "text", "prestataire": "text"},
+    "TABLEAU_CONTROLE": {"societeGeree": "text", "referenceFacture": "text", "fournisseur": "text", "signataire": "text"},
+    "PV_RECEPTION": {"titre": "text", "dateReception": "date", "referenceContrat": "text", "periodeDebut": "date", "periodeFin": "date", "prestations": "joined ,", "signataireMadaef": "text", "signataireFournisseur": "text"},
+    "ATTESTATION_FISCALE": {
+        "numero": "text", "dateEdition": "date", "raisonSociale": "text", "identifiantFiscal": "text", "ice": "text", "rc": "text", "estEnRegle": "flag", "dateValidite": "date", "typeAttestation": "upper", "codeVerification": "trimmed",
+    },
+}
+#: The child lists of each type. Names apart by ``|`` are tried in order.
+CHILDREN = {
+    ("FACTURE", "lignes"): {"codeArticle": "filled", "designation": "trimmed", "quantite": "quantity", "unite": "filled", "prixUnitaireHT|prixUnitaireHt": "amount", "montantTotalHt|montantTotalHT|montantLigneHT": "amount"},
+    ("BON_COMMANDE", "lignes"): {"codeArticle": "filled", "designation": "trimmed", "quantite": "quantity", "prixUnitaireHT|prixUnitaireHt": "amount", "montantTotalHt|montantTotalHT|montantLigneHT": "amount"},
+    ("CONTRAT_AVENANT", "grillesTarifaires"): {"designation": "text", "prixUnitaireHT": "amount", "periodicite": "one of MENSUEL TRIMESTRIEL ANNUEL JOURNALIER", "entite": "text"},
+    ("ORDRE_PAIEMENT", "retenues"): {"type": "one of AUTRE TVA_SOURCE IS_HONORAIRES GARANTIE", "articleCGI": "text", "base": "amount", "taux": "amount", "montant": "amount"},
+    ("CHECKLIST_AUTOCONTROLE", "points"): {"numero": "number", "description": "text", "estValide": "yes or no", "observation": "text"},
+    ("CHECKLIST_AUTOCONTROLE", "signataires"): {"nom": "text", "date": "date", "aSignature": "flag"},
+    ("TABLEAU_CONTROLE", "points"): {"numero": "number", "description": "text", "observation": "text", "commentaire": "text"},
+}
+#: Fields of engagements that all types have, and those of one type.
+ENGAGEMENT = {
+    "objet": "filled", "fournisseur": "filled", "montantHt": "plain amount", "montantTva": "plain amount", "tauxTva": "plain amount", "montantTtc": "plain amount", "dateDocument": "iso date", "dateSignature": "iso date", "dateNotification": "iso date",
+}
+ENGAGEMENT_OF = {
+    "MARCHE": {
+        "numeroAo": "filled", "dateAo": "iso date", "categorie": "upper of TRAVAUX FOURNITURES SERVICES", "delaiExecutionMois": "number", "retenueGarantiePct": "plain amount", "cautionDefinitivePct": "plain amount",
+        "penalitesRetardJourPct": "plain amount", "revisionPrixAutorisee": "flag",
+    },
+    "BON_COMMANDE_CADRE": {"plafondMontant": "plain amount", "dateValiditeFin": "iso date", "seuilAntiFractionnement": "plain amount"},
+    "CONTRAT_CADRE": {
+        "periodicite": "upper of MENSUEL TRIMESTRIEL SEMESTRIEL ANNUEL", "dateDebut": "iso date", "dateFin": "iso date", "reconductionTacite": "flag", "preavisResiliationJours": "number", "indiceRevision": "filled",
+    },
+}
+
+
+def snake(name: str) -> str:
+    """Column of a field: ``montantTTC`` is ``montant_ttc``."""
+    return re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name.split("|")[0]).lower()
+
+
+def _is(value: Column, kinds: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).rlike(f"^({kinds})"), F.lit(False))
+
+
+def _string(value: Column) -> Column:
+    """A JSON string; null for any other value."""
+    return F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string"))
+
+
+def _shown(value: Column) -> Column:
+    """An element of a list as text."""
+    return F.coalesce(_string(value), F.try_variant_get(value, "$", "string"), F.lit("null"))
+
+
+def amount_of(value: Column, parse=scalars.parse_amount_strict, kind: str = scalars.MONEY) -> Column:
+    """A JSON number as it is, a JSON string by ``parse``; null for any other value."""
+    return F.when(_is(value, "BIGINT|DECIMAL|DOUBLE|FLOAT"), F.try_variant_get(value, "$", "decimal(38,6)").try_cast(kind)).when(_is(value, "STRING"), parse(F.try_variant_get(value, "$", "string")).cast(kind))
+
+
+def _read(value: Column, how: str) -> Column:
+    text = _string(value)
+    trimmed = F.nullif(F.trim(text), F.lit(""))
+    if how in ("text", "trimmed", "filled"):
+        return {"text": text, "trimmed": trimmed, "filled": F.when(trimmed.isNotNull(), text)}[how]
+    if how == "date":
+        return scalars.parse_date_typed(text)
+    if how == "iso date":
+        return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+    if how in ("amount", "quantity"):
+        return amount_of(value, kind="decimal(15,3)" if how == "quantity" else scalars.MONEY)
+    if how == "plain amount":
+        return amount_of(value, lambda t: F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(18,4)"), "decimal(18,4)")
+    if how == "upper":
+        return F.upper(trimmed)
+    if how == "number":
+        return F.when(_is(value, "BIGINT|DECIMAL|DOUBLE"), F.try_variant_get(value, "$", "double").try_cast("int"))
+    if how == "flag":
+        return F.when(_is(value, "BOOLEAN"), F.try_variant_get(value, "$", "boolean"))
+    if how == "yes or no":
+        return scalars.parse_bool(F.when(_is(value, "STRING|BOOLEAN|BIGINT|DECIMAL|DOUBLE"), F.try_variant_get(value, "$", "string")))
+    names = how.split(" of ")[1].split(" ")
+    if how.startswith("upper of "):
+        return F.when(F.upper(text).isin(*names), F.upper(text))
+    return F.when(text.isin(*names), text).otherwise(names[0])  # the first one is the default
+
+
+def _array(how: str) -> bool:
+    return how == "strings" or how.startswith("joined ")
+
+
+def _schema(fields: dict[str, str]) -> str:
+    return ", ".join(f"`{name}` {'array<variant>' if _array(how) else 'variant'}" for names, how in fields.items() for name in names.split("|"))
+
+
+def _scalars(fields: dict[str, str], get) -> list[Column]:
+    def one(names: str, how: str) -> Column:
+        value = F.coalesce(*[F.when(~_is(get(n), "VOID"), get(n)) for n in names.split("|")]) if "|" in names else get(names)
+        if how == "strings":
+            return F.filter(F.transform(value, _string), lambda x: x.isNotNull())
+        return F.array_join(F.transform(value, _shown), how.split(" ")[1]) if how.startswith("joined ") else _read(value, how)
+
+    return [one(names, how).alias(snake(names)) for names, how in fields.items()]
+
+
+def _children(kind: str) -> dict[str, dict[str, str]]:
+    return {name: fields for (of, name), fields in CHILDREN.items() if of == kind}
+
+
+def parsed(docs: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """``docs`` (document_id, dossier_id, type, upload, data as JSON text) with a struct column for each type, null where the document is of another.
+
+    A text that is no JSON object makes no row. Each text is parsed once, into variants of the fields that have a column; a
+    value of another JSON type than the field asks for is null.
+    """
+    an_object = F.coalesce(F.schema_of_variant(F.try_parse_json("data")).startswith("OBJECT"), F.lit(False))
+    out = docs.withColumn("__object", an_object)
+    for kind in kinds or FIELDS:
+        lists = _children(kind)
+        mine = (F.col("type") == kind) & F.col("__object")
+        json = F.from_json(F.when(mine, F.col("data")), ", ".join([_schema(FIELDS[kind]), *[f"`{n}` array<variant>" for n in lists]]))
+        read = lambda fields: lambda row: F.struct(*_scalars(fields, lambda n: F.try_variant_get(row, f"$.{n}", "variant")))
+        children = [F.transform(F.col("__json")[n], read(f)).alias(snake(n)) for n, f in lists.items()]
+        if "lignes" in lists:  # lines without a designation are none
+            children = [F.filter(c, lambda row: row["designation"].isNotNull()).alias("lignes") for c in children]
+        out = out.withColumn("__json", json).withColumn(kind.lower(), F.when(mine, F.struct(*_scalars(FIELDS[kind], lambda n: F.col("__json")[n]), *children))).drop("__json")
+    return out.drop("__object")
+
+
+def dossier_rows(docs: DataFrame) -> DataFrame:
+    """One row for each file: dossier_id, types, factures (all, in order of upload), and a struct for each other type, null without such a document.
+
+    Of a type that a file has once, the last document (by upload, then id) gives the fields, and the last one that has a list
+    its children; the first one stays the document that the row belongs to. Everything meets in one partial aggregation by file, so no
+    side is joined and no list multiplies another.
+    """
+    order = F.struct("upload", "document_id")
+    rows = parsed(docs)
+    invoice = F.when(F.col("facture").isNotNull(), F.struct("upload", "document_id", *[F.col("facture")[f].alias(f) for f in [*map(snake, FIELDS["FACTURE"]), "lignes"]], *[F.col(c) for c in ("texte",) if c in docs.columns]))
+    aggregates = [F.sort_array(F.collect_set("type")).alias("types"), F.sort_array(F.collect_list(invoice)).alias("factures")]
+    for kind in [k for k in FIELDS if k != "FACTURE"]:
+        name = kind.lower()
+        mine = F.col(name).isNotNull()
+        aggregates.append(F.min_by(F.when(mine, F.col("document_id")), F.when(mine, order)).alias(f"{name}_document"))
+        aggregates.append(F.max_by(F.when(mine, F.struct(*[F.col(name)[snake(f)].alias(snake(f)) for f in FIELDS[kind]], *[F.col(c) for c in ("qr",) if c in docs.columns])), F.when(mine, order)).alias(f"{name}_champs"))
+        for child in _children(kind):
+            there = F.col(name)[snake(child)].isNotNull()
+            aggregates.append(F.max_by(F.when(there, F.col(name)[snake(child)]), F.when(there, order)).alias(f"{name}_{snake(child)}"))
+    met = rows.groupBy("dossier_id").agg(*aggregates)
+
+    def whole(kind: str) -> Column:
+        name = kind.lower()
+        fields = met.schema[f"{name}_champs"].dataType.names
+        row = F.struct(F.col(f"{name}_document").alias("document_id"), *[F.col(f"{name}_champs")[f].alias(f) for f in fields], *[F.coalesce(F.col(f"{name}_{snake(c)}"), F.array().cast(met.schema[f"{name}_{snake(c)}"].dataType)).alias(snake(c)) for c in _children(kind)])
+        return F.when(F.col(f"{name}_champs").isNotNull(), row).alias(name)
+
+    return met.select("dossier_id", "types", "factures", *[whole(k) for k in FIELDS if k != "FACTURE"])
+
+
+def engagement_rows(docs: DataFrame) -> DataFrame:
+    """One row for each engagement reference among ``docs`` (document_id, type, upload, data): its type is the first document's, and each field the last value that could be read.
+
+    Documents without a reference, or of another type, make none. Fields of other types are null.
+    """
+    fields = ENGAGEMENT | {n: h for of in ENGAGEMENT_OF.values() for n, h in of.items()}
+    json = F.from_json("data", _schema({"reference": "text"} | fields))
+    rows = docs.filter(F.col("type").isin(*ENGAGEMENT_OF)).withColumn("__json", json)
+    rows = rows.select("type", F.struct("upload", "document_id").alias("ordre"), F.trim(_string(F.col("__json.reference"))).alias("reference"), *_scalars(fields, lambda n: F.col("__json")[n])).filter("reference <> ''")
+    last = [F.max_by(snake(n), F.when(F.col(snake(n)).isNotNull(), F.col("ordre"))).alias(snake(n)) for n in fields]
+    met = rows.groupBy("reference").agg(F.min_by("type", "ordre").alias("type"), F.max("ordre.upload").alias("modifie"), *last)
+    mine = {snake(n): kind for kind, of in ENGAGEMENT_OF.items() for n in of}
+    return met.select("reference", "type", "modifie", *[(F.when(F.col("type") == mine[c], F.col(c)) if c in mine else F.col(c)).alias(c) for c in map(snake, fields)])
+
 
 def _text(name: str) -> Column:
     return F.nullif(F.trim(quality.field(F.col("data"), name)), F.lit(""))
@@ -18,18 +203,13 @@ def _amount(name: str) -> Column:
 
 
 def invoices(docs: DataFrame) -> DataFrame:
-    """Typed rows of the invoices among ``docs`` (document_id, type, data); what cannot be read is null."""
+    """Typed rows of the invoices among ``docs`` (document_id, type, and data as a map of its fields); what cannot be read is null."""
     return docs.filter("type = 'FACTURE'").select(
         "document_id", _text("numeroFacture").alias("numero"), _text("fournisseur").alias("fournisseur"), scalars.normalize_ice(_text("ice")).alias("ice"), scalars.parse_date(_text("dateFacture")).alias("jour"),
         _amount("montantHT").alias("ht"), _amount("montantTVA").alias("tva"), _amount("montantTTC").alias("ttc"),
     )
 
 
-def payment_orders(docs: DataFrame) -> DataFrame:
-    """Typed rows of the payment orders among ``docs``."""
-    return docs.filter("type = 'ORDRE_PAIEMENT'").select("document_id", _text("numeroOp").alias("numero"), scalars.compact(_text("rib")).alias("rib"), scalars.parse_date(_text("dateEmission")).alias("jour"), _amount("montantOperation").alias("montant"))
-
-
 def with_cached_text(uploads: DataFrame, cache: DataFrame, version: int) -> DataFrame:
     """Uploads (batch or stream, with sha256) and the text that the cache holds for this content in this version, if any."""
     known = cache.filter(F.col("version") == version).groupBy("sha256").agg(F.first("texte").alias("texte"))
