@@ -89,6 +89,9 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.stack = [Place()]
         self.held: list[str] = []
+        #: Open elements by name: blocks, and inline elements since each open block.
+        self.blocks: Counter[str] = Counter()
+        self.inline: list[Counter[str]] = [Counter()]
         self.links = self.tags = self.places = 0
 
     def _end_line(self) -> None:
@@ -113,6 +116,11 @@ class Lines(HTMLParser):
         if tag in ("article", "main") and not at.article:
             at = at._replace(article=self.places)
         self.stack.append(at._replace(tag=tag, out=at.out or _left_out(tag, attrs), link=at.link or tag == "a"))
+        if tag in INLINE:
+            self.inline[-1][tag] += 1
+        else:
+            self.blocks[tag] += 1
+            self.inline.append(Counter())
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -123,13 +131,22 @@ class Lines(HTMLParser):
         self.tags += not self.stack[-1].out
         if tag not in INLINE:
             self._end_line()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                self._end_line() if i < len(self.stack) - 1 and tag not in INLINE else None
-                del self.stack[i:]
-                break
-            if tag in INLINE and self.stack[i].tag not in INLINE:
-                break  # an inline end tag closes nothing outside its block
+        if not (self.inline[-1] if tag in INLINE else self.blocks)[tag]:
+            return  # nothing of that name is open; an inline end tag closes nothing outside its block
+        if self.stack[-1].tag != tag and tag not in INLINE:
+            self._end_line()
+        while self._close_last() != tag:
+            pass
+
+    def _close_last(self) -> str:
+        """Closes the last open element, so each element is closed once, whatever end tags follow."""
+        tag = self.stack.pop().tag
+        if tag in INLINE:
+            self.inline[-1][tag] -= 1
+        else:
+            self.blocks[tag] -= 1
+            self.inline.pop()
+        return tag
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1].out:
