@@ -36,9 +36,9 @@ CHILDREN = {
     ("BON_COMMANDE", "lignes"): {"codeArticle": "filled", "designation": "trimmed", "quantite": "quantity", "prixUnitaireHT|prixUnitaireHt": "amount", "montantTotalHt|montantTotalHT|montantLigneHT": "amount"},
     ("CONTRAT_AVENANT", "grillesTarifaires"): {"designation": "text", "prixUnitaireHT": "amount", "periodicite": "one of MENSUEL TRIMESTRIEL ANNUEL JOURNALIER", "entite": "text"},
     ("ORDRE_PAIEMENT", "retenues"): {"type": "one of AUTRE TVA_SOURCE IS_HONORAIRES GARANTIE", "articleCGI": "text", "base": "amount", "taux": "amount", "montant": "amount"},
-    ("CHECKLIST_AUTOCONTROLE", "points"): {"numero": "number", "description": "text", "estValide": "yes or no", "observation": "text"},
+    ("CHECKLIST_AUTOCONTROLE", "points"): {"numero": "number or 0", "description": "text", "estValide": "yes or no", "observation": "text"},
     ("CHECKLIST_AUTOCONTROLE", "signataires"): {"nom": "text", "date": "date", "aSignature": "flag"},
-    ("TABLEAU_CONTROLE", "points"): {"numero": "number", "description": "text", "observation": "text", "commentaire": "text"},
+    ("TABLEAU_CONTROLE", "points"): {"numero": "number or 0", "description": "text", "observation": "text", "commentaire": "text"},
 }
 #: Fields of engagements that all types have, and those of one type.
 ENGAGEMENT = {
@@ -95,8 +95,9 @@ def _read(value: Column, how: str) -> Column:
         return amount_of(value, lambda t: F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(18,4)"), "decimal(18,4)")
     if how == "upper":
         return F.upper(trimmed)
-    if how == "number":
-        return F.when(_is(value, "BIGINT|DECIMAL|DOUBLE"), F.try_variant_get(value, "$", "double").try_cast("int"))
+    if how in ("number", "number or 0"):
+        number = F.when(_is(value, "BIGINT|DECIMAL|DOUBLE"), F.try_variant_get(value, "$", "double").try_cast("int"))
+        return number if how == "number" else F.coalesce(number, F.lit(0))
     if how == "flag":
         return F.when(_is(value, "BOOLEAN"), F.try_variant_get(value, "$", "boolean"))
     if how == "yes or no":
@@ -150,7 +151,7 @@ def parsed(docs: DataFrame, kinds: list[str] | None = None) -> DataFrame:
 
 
 def dossier_rows(docs: DataFrame) -> DataFrame:
-    """One row for each file: dossier_id, types, factures (all, in order of upload), and a struct for each other type, null without such a document.
+    """One row for each file: dossier_id, types, documents (id and type of all), factures (all, in order of upload), and a struct for each other type, null without such a document.
 
     Of a type that a file has once, the last document (by upload, then id) gives the fields, and the last one that has a list
     its children; the first one stays the document that the row belongs to. Everything meets in one partial aggregation by file, so no
@@ -159,7 +160,7 @@ def dossier_rows(docs: DataFrame) -> DataFrame:
     order = F.struct("upload", "document_id")
     rows = parsed(docs)
     invoice = F.when(F.col("facture").isNotNull(), F.struct("upload", "document_id", *[F.col("facture")[f].alias(f) for f in [*map(snake, FIELDS["FACTURE"]), "lignes"]], *[F.col(c) for c in ("texte",) if c in docs.columns]))
-    aggregates = [F.sort_array(F.collect_set("type")).alias("types"), F.sort_array(F.collect_list(invoice)).alias("factures")]
+    aggregates = [F.sort_array(F.collect_set("type")).alias("types"), F.sort_array(F.collect_list(F.struct("document_id", "type"))).alias("documents"), F.sort_array(F.collect_list(invoice)).alias("factures")]
     for kind in [k for k in FIELDS if k != "FACTURE"]:
         name = kind.lower()
         mine = F.col(name).isNotNull()
@@ -176,7 +177,7 @@ def dossier_rows(docs: DataFrame) -> DataFrame:
         row = F.struct(F.col(f"{name}_document").alias("document_id"), *[F.col(f"{name}_champs")[f].alias(f) for f in fields], *[F.coalesce(F.col(f"{name}_{snake(c)}"), F.array().cast(met.schema[f"{name}_{snake(c)}"].dataType)).alias(snake(c)) for c in _children(kind)])
         return F.when(F.col(f"{name}_champs").isNotNull(), row).alias(name)
 
-    return met.select("dossier_id", "types", "factures", *[whole(k) for k in FIELDS if k != "FACTURE"])
+    return met.select("dossier_id", "types", "documents", "factures", *[whole(k) for k in FIELDS if k != "FACTURE"])
 
 
 def engagement_rows(docs: DataFrame) -> DataFrame:
