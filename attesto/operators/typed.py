@@ -126,6 +126,22 @@ def _scalars(fields: dict[str, str], get) -> list[Column]:
     return [one(names, how).alias(snake(names)) for names, how in fields.items()]
 
 
+#: Other names under which a field may be corrected.
+ALSO_CORRECTED = {"montantHT": "montantHt", "montantTVA": "montantTva", "tauxTVA": "tauxTva", "montantTTC": "montantTtc", "identifiantFiscal": "if", "numeroOp": "numeroOP"}
+
+
+def _corrected(value: Column, name: str, how: str) -> Column:
+    """A field under a person's correction of it."""
+    if _array(how):
+        return value
+    parse = {"date": scalars.parse_date_correction, "amount": scalars.parse_amount, "flag": lambda t: scalars.parse_bool(t, numbers=False)}.get(how, lambda t: t)
+    for key in (ALSO_CORRECTED.get(name), name):
+        if key:
+            there = F.coalesce(F.map_contains_key("corrections", F.lit(key)), F.lit(False))
+            value = F.when(there, parse(F.try_element_at("corrections", F.lit(key)))).otherwise(value)
+    return value.alias(snake(name))
+
+
 def _children(kind: str) -> dict[str, dict[str, str]]:
     return {name: fields for (of, name), fields in CHILDREN.items() if of == kind}
 
@@ -133,7 +149,8 @@ def _children(kind: str) -> dict[str, dict[str, str]]:
 def parsed(docs: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """``docs`` (document_id, dossier_id, type, upload, data as JSON text) with a struct column for each type, null where the document is of another.
 
-    A text that is no JSON object makes no row. Each text is parsed once, into variants of the fields that have a column; a
+    A column ``corrections`` (field to value) lays a person's values over fields that were read, in the corrections' own notations; a null value
+    empties the field. A text that is no JSON object makes no row. Each text is parsed once, into variants of the fields that have a column; a
     value of another JSON type than the field asks for is null.
     """
     an_object = F.coalesce(F.schema_of_variant(F.try_parse_json("data")).startswith("OBJECT"), F.lit(False))
@@ -146,7 +163,10 @@ def parsed(docs: DataFrame, kinds: list[str] | None = None) -> DataFrame:
         children = [F.transform(F.col("__json")[n], read(f)).alias(snake(n)) for n, f in lists.items()]
         if "lignes" in lists:  # lines without a designation are none
             children = [F.filter(c, lambda row: row["designation"].isNotNull()).alias("lignes") for c in children]
-        out = out.withColumn("__json", json).withColumn(kind.lower(), F.when(mine, F.struct(*_scalars(FIELDS[kind], lambda n: F.col("__json")[n]), *children))).drop("__json")
+        own = _scalars(FIELDS[kind], lambda n: F.col("__json")[n])
+        if "corrections" in docs.columns:
+            own = [_corrected(value, name, how) for value, (name, how) in zip(own, FIELDS[kind].items(), strict=True)]
+        out = out.withColumn("__json", json).withColumn(kind.lower(), F.when(mine, F.struct(*own, *children))).drop("__json")
     return out.drop("__object")
 
 
