@@ -61,6 +61,23 @@ def checklist_points(json: DataFrame) -> DataFrame:
     return rows.select("dossier_id", F.coalesce("p.numero", F.col("pos") + 1).alias("numero"), F.coalesce("p.libelle", F.concat(F.lit("Point "), F.col("pos") + 1)).alias("libelle"), "p.valide")
 
 
+#: The points of a file without a checklist.
+DEFAULT_POINTS = (
+    "Concordance facture / modalites contractuelles / livrables", "Verification arithmetique des montants", "Respect du delai d'execution des prestations", "Modifications / avenants (plafonds et variations)",
+    "Application des retenues et penalites", "Signatures et visas des personnes habilitees", "Conformite reglementaire (ICE, IF, RC, CNSS)", "Conformite du RIB contractuel vs facture", "Conformite BL / PV de reception",
+    "Habilitations des signataires des receptions",
+)
+
+
+def control_points(rows: DataFrame) -> DataFrame:
+    """The points of the control table of each file (``typed.dossier_rows``): dossier_id, rang, description, observation, commentaire; those of its checklist, else the default ones."""
+    one = lambda description, observation, comment: F.struct(description.alias("description"), observation.alias("observation"), comment.alias("commentaire"))
+    own = F.transform(F.col("checklist_autocontrole")["points"], lambda p: one(
+        F.coalesce(p["description"], F.concat(F.lit("Point "), p["numero"].cast("string"))), F.when(p["est_valide"], "Conforme").when(~p["est_valide"], "Non conforme").otherwise("NA"), p["observation"]))
+    default = F.array(*[one(F.lit(x), F.lit("NA"), F.lit(None).cast("string")) for x in DEFAULT_POINTS])
+    return rows.select("dossier_id", F.posexplode(F.when(F.size(own) > 0, own).otherwise(default)).alias("rang", "p")).select("dossier_id", (F.col("rang") + 1).alias("rang"), "p.*")
+
+
 def closing_points(points: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Each point (dossier_id, numero, libelle, valide) with its conclusion: of the first verdict whose text holds the other's first 20 characters, else the answer."""
     head = lambda c: F.substring(F.lower(c), 1, 20)

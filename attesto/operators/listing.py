@@ -211,6 +211,16 @@ def duplicates_by_number(invoices: DataFrame, since) -> DataFrame:
     return a.join(b, "cle").filter("a_dossier_id <> dossier_id").select("a_facture_id", "facture_id")
 
 
+def audit_trail(log: DataFrame, dossier_id) -> DataFrame:
+    """What was done to one file, the newest first."""
+    return log.filter(F.col("dossier_id") == dossier_id).orderBy(F.desc("date_action"), F.desc("audit_id"))
+
+
+def in_order(rows: DataFrame, *order) -> DataFrame:
+    """Rows of each file with their place: verdicts by rule, documents by upload."""
+    return rows.withColumn("rang", F.row_number().over(Window.partitionBy("dossier_id").orderBy(*order)))
+
+
 def cascade_scope(rules: list[str], depends: dict[str, list[str]]) -> list[str]:
     """The rules to run again with these: themselves and those that depend on them, one step."""
     return sorted({*rules, *(r for r, needs in depends.items() if set(needs) & set(rules))})

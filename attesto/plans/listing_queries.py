@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesto.operators import listing
+from attesto.operators import custom, listing
 from attesto.plans.registry import query
 from attesto.plans.standins import over, view
 from attesto.sources.tables import table
@@ -209,3 +209,46 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, 0.0::DOUBLE AS rang FROM documents WHERE contains(lower(source), 'ation') OR contains(lower(coalesce(text, '')), 'ation') ORDER BY doc_id DESC LIMIT 50")
 def containing_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.containing(table(spark, sf_dir, "documents"), "ATION", F.col("source"))
+
+
+_AUDIT = "SELECT event_id AS audit_id, user_id AS dossier_id, upper(event_type) AS action, ts AS date_action FROM events"
+
+
+@query(f"SELECT audit_id, action, date_action FROM ({_AUDIT}) WHERE dossier_id = 7")
+def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = spark.sql(_AUDIT.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    return listing.audit_trail(log, 7).select("audit_id", "action", "date_action")
+
+
+@query(over("SELECT dossier_id, regle, statut, row_number() OVER (PARTITION BY dossier_id ORDER BY regle) AS rang FROM verdicts_", "verdicts"))
+def verdicts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.in_order(view(spark, sf_dir, "verdicts"), "regle").select("dossier_id", "regle", "statut", "rang")
+
+
+@query(over("SELECT dossier_id, document_id, row_number() OVER (PARTITION BY dossier_id ORDER BY upload, document_id) AS rang FROM documents_", "documents"))
+def documents_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.in_order(view(spark, sf_dir, "documents"), "upload", "document_id").select("dossier_id", "document_id", "rang")
+
+
+_CUSTOM = """SELECT 'CUSTOM-' || lpad(CAST(p_partkey AS STRING), 6, '0') AS code, p_name AS libelle, p_size > 25 AS enabled, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE 'prompt ' || p_type END AS prompt,
+    CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'AVERTISSEMENT' WHEN 2 THEN 'NON_CONFORME' ELSE 'GRAVE' END AS severity, p_partkey % 3 > 0 AS bc, p_partkey % 5 > 0 AS contractuel, p_partkey AS demande FROM part"""
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_CUSTOM.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
+@query(f"SELECT code, libelle FROM ({_CUSTOM}) WHERE CASE WHEN demande % 10 = 3 THEN demande % 20 = 3 ELSE enabled END")
+def custom_rules_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of users that are on, by code, after some were switched."""
+    rules = _rules(spark, sf_dir)
+    changes = rules.filter("demande % 10 = 3").select("code", (F.col("demande") % 20 == 3).alias("actif"))
+    return custom.listed(custom.toggled(rules, changes), enabled_only=True).select("code", "libelle")
+
+
+@query(f"""WITH a AS (SELECT *, CASE WHEN trim(prompt) = '' THEN 'PROMPT' WHEN NOT (bc OR contractuel) THEN 'TYPE' WHEN severity = 'GRAVE' THEN 'SEVERITE' END AS refus FROM ({_CUSTOM})),
+    n AS (SELECT *, count(*) FILTER (refus IS NULL) OVER (ORDER BY demande) + 41 AS numero FROM a)
+    SELECT demande, CASE WHEN refus IS NULL THEN 'CUSTOM-' || CAST(numero AS VARCHAR) END AS code, refus, CASE WHEN severity = '' THEN 'NON_CONFORME' ELSE severity END AS severity FROM n""")
+def custom_rules_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("CUSTOM-07",), ("CUSTOM-41",), ("AUTRE-99",)], "code string")
+    return custom.created(known, _rules(spark, sf_dir).drop("code", "enabled")).select("demande", "code", "refus", "severity")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesto.operators import typed
+from attesto.operators import client, typed
 from attesto.plans.registry import query
 from attesto.sources.tables import table
 
@@ -41,7 +41,7 @@ DOCUMENTS = {
         (5, "k % 4 > 0", _json(numeroOp=_quoted("'OP' || CAST(k AS STRING)"), montantOperation=_T, modePaiement="'\" especes \"'", retenues=f"'[{{\"type\":\"GARANTIE\",\"base\":' || {_T} || ',\"taux\":10,\"montant\":\"1 000,50 DH\"}},{{\"type\":\"inconnue\",\"montant\":3}}]'")),
         (6, "k % 3 = 0", _json(numeroOp=_quoted("'OP' || CAST(k AS STRING) || 'bis'"), montantOperation=_quoted("'12'"))),
     ],
-    "CHECKLIST_AUTOCONTROLE": [(7, "true", _json(points="'[{\"numero\":1,\"estValide\":\"Oui\"},{\"numero\":2,\"estValide\":false},{\"estValide\":\"peut-etre\"},{\"numero\":\"4\",\"estValide\":1}]'"))],
+    "CHECKLIST_AUTOCONTROLE": [(7, "k % 6 > 0", _json(points="'[{\"numero\":1,\"estValide\":\"Oui\"},{\"numero\":2,\"estValide\":false},{\"estValide\":\"peut-etre\"},{\"numero\":\"4\",\"estValide\":1}]'"))],
     "PV_RECEPTION": [(8, "k % 2 = 1", _json(dateReception=_quoted(_FR), prestations="'[\"a\",\"b\"]'"))],
     "ATTESTATION_FISCALE": [(9, "k % 3 > 0", _json(numero=_quoted("CAST(k AS STRING)"), estEnRegle="CASE k % 3 WHEN 1 THEN 'true' ELSE '\"true\"' END", typeAttestation="'\" definitive \"'", dateEdition="'\"31/02/2024\"'"))],
 }
@@ -84,10 +84,10 @@ def typed_invoice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         arg_max(struct_pack(v := ({_amount('$.montantOperation')})::DOUBLE), upload) FILTER (type = 'ORDRE_PAIEMENT') AS op_montant, arg_max(struct_pack(v := upper(trim({_text('$.modePaiement')}))), upload) FILTER (type = 'ORDRE_PAIEMENT') AS op_mode,
         arg_max({_text('$.reference')}, upload) FILTER (type = 'BON_COMMANDE') AS bc_reference, arg_max(struct_pack(v := ({_amount('$.montantTTC')})::DOUBLE), upload) FILTER (type = 'BON_COMMANDE') AS bc_ttc, arg_max(struct_pack(v := {_day('$.dateBc')}), upload) FILTER (type = 'BON_COMMANDE') AS bc_date,
         bool_or(type = 'CONTRAT_AVENANT') AS contrat, max({_day('$.dateReception')}) FILTER (type = 'PV_RECEPTION') AS pv_date, bool_or(json_type(j, '$.estEnRegle') = 'BOOLEAN') FILTER (type = 'ATTESTATION_FISCALE') AS en_regle,
-        bool_or(type = 'ATTESTATION_FISCALE') AS arf, bool_or(type = 'ORDRE_PAIEMENT' AND json_type(j, '$.retenues') = 'ARRAY') AS retenu, bool_or(type = 'PV_RECEPTION') AS pv FROM docs GROUP BY 1)
+        bool_or(type = 'ATTESTATION_FISCALE') AS arf, bool_or(type = 'CHECKLIST_AUTOCONTROLE') AS ck, bool_or(type = 'ORDRE_PAIEMENT' AND json_type(j, '$.retenues') = 'ARRAY') AS retenu, bool_or(type = 'PV_RECEPTION') AS pv FROM docs GROUP BY 1)
     SELECT dossier_id, array_to_string(types, ',') AS types, op_document, op_numero, op_montant.v AS op_montant, op_mode.v AS op_mode, CASE WHEN op_document IS NOT NULL THEN CASE WHEN retenu THEN 'GARANTIE:1000.50,AUTRE:3.00' ELSE '' END END AS retenues, bc_reference, bc_ttc.v AS bc_ttc, bc_date.v AS bc_date,
            CASE WHEN contrat THEN 'Alpha,7,null' END AS parties, CASE WHEN contrat THEN 'ANNUEL:10.00,MENSUEL:2.50' END AS grille, pv_date, CASE WHEN pv THEN 'a,b' END AS prestations, CASE WHEN en_regle THEN true END AS en_regle, CASE WHEN arf THEN DATE '2024-02-29' END AS edition,
-           '1:true,2:false,0:?,0:true' AS points FROM t""")
+           CASE WHEN ck THEN '1:true,2:false,0:?,0:true' END AS points FROM t""")
 def typed_dossier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = typed.dossier_rows(_pieces(spark, sf_dir))
     shown = lambda array, a, b: F.array_join(F.transform(array, lambda x: F.concat(x[a].cast("string"), F.lit(":"), F.coalesce(x[b].cast("string"), F.lit("?")))), ",")
@@ -124,3 +124,10 @@ def typed_engagements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "reference", "type", "modifie", "objet", money("montant_ttc", "montant"), F.col("delai_execution_mois").alias("delai"), F.col("date_fin").alias("fin"), "periodicite", F.col("revision_prix_autorisee").alias("revision"), money("plafond_montant", "plafond")
     )
+
+
+@query(f"""WITH d AS (SELECT k AS dossier_id, k % 6 > 0 AS propre FROM {_ORDERS})
+    SELECT dossier_id, i AS rang, CASE WHEN propre THEN ['Point 1', 'Point 2', 'Point 0', 'Point 0'][i] ELSE {list(client.DEFAULT_POINTS)}[i] END AS description, CASE WHEN propre THEN ['Conforme', 'Non conforme', 'NA', 'Conforme'][i] ELSE 'NA' END AS observation
+    FROM d, unnest(range(1, CASE WHEN propre THEN 5 ELSE 11 END)) AS r(i)""".replace('"Respect du delai d\'execution des prestations"', "'Respect du delai d''execution des prestations'"))
+def control_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return client.control_points(typed.dossier_rows(_pieces(spark, sf_dir))).select("dossier_id", "rang", "description", "observation")

@@ -21,16 +21,16 @@ class Buckets:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _exists(self, name: str = "") -> bool:
-        path, files = self._path(name)
-        return files.exists(path)
+    def _filled(self) -> bool:
+        path, files = self._path("rows")
+        return files.exists(path) and any(x.getPath().getName().startswith("seau=") for x in files.listStatus(path))
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
 
     def read(self, keys: DataFrame | None = None) -> DataFrame | None:
-        """The table, or what the buckets of ``keys`` hold of it; None before the first write. Other buckets are not listed as inputs."""
-        if not self._exists("rows"):
+        """The table, or what the buckets of ``keys`` hold of it; None if it has no rows. Other buckets are not read."""
+        if not self._filled():
             return None
         rows = self.spark.read.parquet(f"{self.path}/rows")
         return (rows if keys is None else rows.filter(F.col("seau").isin(*self._of(keys)))).drop("seau")

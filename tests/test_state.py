@@ -6,7 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from attesto.operators import listing
+from attesto.operators import custom, listing
 from attesto.sources import tables
 from attesto.streaming import telemetry
 
@@ -38,3 +38,12 @@ def test_uploads_are_taken_once_a_file(spark, tmp_path):
 
 def test_reruns_take_one_step_of_dependencies():
     assert listing.cascade_scope(["R01"], {"R01f": ["R01"], "R01g": ["R01f"], "R02": []}) == ["R01", "R01f"]
+
+
+def test_bad_predicate_rules_say_why_and_stop_nothing(spark):
+    context = spark.createDataFrame([(1, 10, None), (2, 30, "x"), (3, None, "x")], "dossier_id int, f_ttc int, f_numero string")
+    asked = [("CUSTOM-01", "NON_CONFORME", "f_ttc < 20"), ("CUSTOM-02", "AVERTISSEMENT", "f_numero IS NOT NULL"), ("CUSTOM-03", "", "inconnue > 1"), ("CUSTOM-04", "", "sum(f_ttc) > 1"), ("CUSTOM-05", "", "f_ttc IN (SELECT 1)"), ("CUSTOM-06", "", "f_ttc +"), ("CUSTOM-07", "", "f_ttc")]
+    rows, bad = custom.predicate_verdicts(context, asked)
+    assert sorted(bad) == [f"CUSTOM-0{i}" for i in range(3, 8)] and all(bad.values())
+    assert {(r.dossier_id, r.regle): r.statut for r in rows.collect()} == {(1, "CUSTOM-01"): "CONFORME", (2, "CUSTOM-01"): "NON_CONFORME", (1, "CUSTOM-02"): "AVERTISSEMENT", (2, "CUSTOM-02"): "CONFORME", (3, "CUSTOM-02"): "CONFORME"}
+    assert custom.predicate_verdicts(context, asked[2:3])[0] is None
