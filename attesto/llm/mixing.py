@@ -15,29 +15,41 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesto.llm.scratch import stage
+from attesto.llm.scratch import bounded_batches, stage
 
 MISSING = "∅"
 SWEEPS, ROUNDS, TOLERANCE = 5, 20, 1e-6
 
 
-def tokens_of(text: Column) -> Column:
-    """Blank-separated words, counted by their blanks; one at least."""
-    t = F.coalesce(text, F.lit(""))
-    return (F.length(t) - F.length(F.translate(t, " \n\t\r", "")) + 1).cast("bigint")
+#: Bytes that separate words, and those whose share of the characters gives the form of a text, with that share.
+BLANKS = b" \n\t\r"
+FORMS = {"symbols": (b"*%$#&!@", 0.05), "tabular": (b"|\t;", 0.03), "figures": (b"0123456789", 0.1)}
+SHORT = 200
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic by form: ``symbols``, ``tabular``, ``figures``, ``short`` or ``prose``."""
-    t = F.coalesce(text, F.lit(""))
-    share = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))) / F.greatest(F.length(t), F.lit(1))
-    return (
-        F.when(share("*%$#&!@") > 0.05, "symbols").when(share("|\t;") > 0.03, "tabular").when(share("0123456789") > 0.1, "figures")
-        .when(F.length(t) < 200, "short").otherwise("prose")
-    )
+def form_of(text: str | None) -> tuple[int, str]:
+    """Words, counted by their blanks (one at least), and a coarse topic by form: ``symbols``, ``tabular``, ``figures``, ``short`` or ``prose``. The bytes are counted in one pass."""
+    counts = np.bincount(np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8), minlength=256)
+    chars = int(counts.sum() - counts[0x80:0xC0].sum())  # without continuation bytes
+    for name, (marks, share) in FORMS.items():
+        if counts[list(marks)].sum() / max(chars, 1) > share:
+            return int(counts[list(BLANKS)].sum()) + 1, name
+    return int(counts[list(BLANKS)].sum()) + 1, "short" if chars < SHORT else "prose"
+
+
+def forms(text: Column) -> Column:
+    """A struct of ``tokens`` and ``topic`` of each text."""
+
+    @F.pandas_udf("struct<tokens: bigint, topic: string>")
+    def form(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([form_of(t) for t in texts], columns=["tokens", "topic"])
+
+    return form(text)
 
 
 def rake(cells: DataFrame, dims: list[str], targets: dict[str, dict[str, float]] | None, power: float) -> DataFrame:
@@ -88,11 +100,14 @@ def calibrate(cells: DataFrame, share: float) -> float:
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.8, share: float = 0.6, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
     """``docs`` with ``__source``, ``__lang``, ``__topic``, ``__tokens``, ``__weight``, ``__probability`` and ``__kept``."""
     dims = ["__source", "__lang", "__topic"]
+    bounded_batches(docs.sparkSession)
     named = (
         docs.withColumn("__source", F.coalesce(docs[source_col].cast("string"), F.lit(MISSING)))
         .withColumn("__lang", F.coalesce(docs[lang_col].cast("string"), F.lit(MISSING)))
-        .withColumn("__topic", F.coalesce((topic if topic is not None else topic_of(docs[text_col])).cast("string"), F.lit(MISSING)))
-        .withColumn("__tokens", tokens_of(docs[text_col]))
+        .withColumn("__form", forms(docs[text_col]))
+        .withColumn("__topic", F.coalesce((F.col("__form.topic") if topic is None else topic).cast("string"), F.lit(MISSING)))
+        .withColumn("__tokens", F.col("__form.tokens"))
+        .drop("__form")
     )
     cells = stage(named.groupBy(*dims).agg(F.sum("__tokens").alias("tokens")), "tokens")
     renamed = {f"__{k}": v for k, v in (targets or {}).items()}
