@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,16 +87,18 @@ def mask_personal_data(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\b[0-9]{24}\b", "[RIB]"), r"\b[0-9]{15}\b", "[ICE]")
 
 
-#: Accented Latin letters and what they fold to.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Marks that decomposition leaves behind, and all characters that decompose into an ASCII letter or digit and such marks, with these.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+_DECOMPOSED = {chr(c): d[0] for c in range(0x80, 0x30000) if (d := unicodedata.normalize("NFD", chr(c)))[0] < "\x80" and d[0].isalnum() and all(x in MARKS for x in d[1:])}
+ACCENTED, PLAIN = "".join(_DECOMPOSED), "".join(_DECOMPOSED.values())
 #: Legal forms that are no part of a supplier's name, and words of a credit note.
 LEGAL_FORMS = ("sarl", "sas", "sa", "sprl", "eurl", "sci", "gie")
 CREDIT_NOTE = r"(?i)\b(avoir|annul|annulation|rectif|rectificatif|av-|cn-|credit\s*note|note\s*de\s*credit)\b"
 
 
 def fold(c: Column) -> Column:
-    """Lower case without Latin accents."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without marks: canonical decomposition as far as it gives ASCII letters and digits, in generated code."""
+    return F.lower(F.translate(c, ACCENTED + MARKS, PLAIN))
 
 
 def normalize_label(c: Column) -> Column:

@@ -13,20 +13,31 @@ from attesto.operators.verdicts import KO, OK, RELATIVE, TOLERANCE
 
 #: Similarity of two designations above which lines may match.
 ALIKE = 0.60
-FIELDS = ["code", "designation", "quantite", "pu", "total"]
+
+
+def _prepared(rows: DataFrame, n: str, trim: bool) -> DataFrame:
+    """Lines with what pairs are judged by, worked out once a line: code, label and its words."""
+    label = scalars.normalize_label(F.col("designation"))
+    code = F.nullif(F.lower(F.trim("code") if trim else F.col("code")), F.lit(""))
+    out = rows.select("dossier_id", F.col("ligne").alias(n), code.alias(f"code_{n}"), label.alias(f"label_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in ("quantite", "pu", "total")])
+    return out.withColumn(f"words_{n}", F.array_distinct(F.filter(F.split(f"label_{n}", " "), lambda w: F.length(w) >= 2)))
 
 
 def candidates(lines: DataFrame, references: DataFrame) -> DataFrame:
-    """Pairs of one file's lines and reference lines: equal codes score 2, else the similarity of the designations above ``ALIKE``."""
-    a, b = (df.select("dossier_id", F.col("ligne").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in FIELDS]) for df, n in ((lines, "l"), (references, "r")))
-    code = lambda n: F.nullif(scalars.normalize_code(F.col(f"code_{n}")), F.lit(""))
-    alike = scalars.label_similarity(F.col("designation_l"), F.col("designation_r"))
-    score = F.when(code("l") == code("r"), 2.0).when(alike > ALIKE, alike)
-    return a.join(b, "dossier_id").withColumn("score", score).filter("score is not null")
+    """(dossier_id, l, r, score, differe): pairs of one file's lines and reference lines; codes that agree whatever the case score 2, else the similarity of the designations above ``ALIKE``."""
+    pairs = _prepared(lines, "l", True).join(_prepared(references, "r", False), "dossier_id")
+    both = F.size(F.array_intersect("words_l", "words_r"))
+    union = F.size("words_l") + F.size("words_r") - both
+    alike = F.when((F.col("label_l") == "") | (F.col("label_r") == ""), 0.0).when(F.col("label_l") == F.col("label_r"), 1.0).when(union == 0, 0.0).otherwise(both / union)
+    off = lambda c, limit: F.coalesce(F.abs(F.col(f"{c}_l") - F.col(f"{c}_r")) > limit, F.lit(False))
+    price = F.greatest(F.lit(TOLERANCE), F.greatest(F.abs("pu_r"), F.lit(1)).cast("double") * RELATIVE)
+    differ = off("quantite", TOLERANCE) | off("pu", price) | off("total", TOLERANCE)
+    scored = pairs.select("dossier_id", "l", "r", F.when(F.col("code_l") == F.col("code_r"), 2.0).when(alike > ALIKE, alike).alias("score"), differ.alias("differe"))
+    return scored.filter("score is not null")
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
-    """(dossier_id, l, r): in line order each line takes its best reference line that is still free, the first on ties.
+    """(dossier_id, l, r, differe): in line order each line takes its best reference line that is still free, the first on ties.
 
     Sequential within a file: the pairs of a file come to one task in this order, and one pass keeps only the reference
     lines that the present file has taken.
@@ -35,30 +46,26 @@ def greedy(pairs: DataFrame) -> DataFrame:
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file, line, taken, done = None, None, set(), False
         for frame in frames:
-            out = []
+            keep = []
             for d, own, r in zip(frame["dossier_id"].tolist(), frame["l"].tolist(), frame["r"].tolist(), strict=True):
                 if d != file:
                     file, line, taken = d, None, set()
                 if own != line:
                     line, done = own, False
-                if not done and r not in taken:
+                new = not done and r not in taken
+                if new:
                     taken.add(r)
                     done = True
-                    out.append((d, own, r))
-            yield pd.DataFrame(out, columns=["dossier_id", "l", "r"])
+                keep.append(new)
+            yield frame.loc[keep, ["dossier_id", "l", "r", "differe"]]
 
-    ordered = pairs.select("dossier_id", "l", "r", "score").repartition("dossier_id").sortWithinPartitions("dossier_id", "l", F.desc("score"), "r")
-    return ordered.mapInPandas(assign, "dossier_id bigint, l int, r int")
+    ordered = pairs.repartition("dossier_id").sortWithinPartitions("dossier_id", "l", F.desc("score"), "r")
+    return ordered.mapInPandas(assign, "dossier_id bigint, l int, r int, differe boolean")
 
 
 def line_verdicts(lines: DataFrame, references: DataFrame, whole: bool = True) -> DataFrame:
     """Per file with lines on both sides: statut, and how many lines are unmatched, differ, or (``whole``) miss in the invoice."""
-    pairs = candidates(lines, references)
-    matched = greedy(pairs).join(pairs, ["dossier_id", "l", "r"])
-    off = lambda c, limit: F.coalesce(F.abs(F.col(f"{c}_l") - F.col(f"{c}_r")) > limit, F.lit(False))
-    price = F.greatest(F.lit(TOLERANCE), F.greatest(F.abs("pu_r"), F.lit(1)).cast("double") * RELATIVE)
-    differ = off("quantite", TOLERANCE) | off("pu", price) | off("total", TOLERANCE)
-    found = matched.groupBy("dossier_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(differ).alias("differentes"))
+    found = greedy(candidates(lines, references)).groupBy("dossier_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("differe").alias("differentes"))
     own, there = lines.groupBy("dossier_id").agg(F.count(F.lit(1)).alias("own")), references.groupBy("dossier_id").agg(F.count(F.lit(1)).alias("there"))
     out = own.join(there, "dossier_id").join(found, "dossier_id", "left").fillna(0, ["n", "differentes"])
     out = out.withColumn("sans_reference", F.col("own") - F.col("n")).withColumn("manquantes", F.when(F.lit(whole), F.col("there") - F.col("n")).otherwise(0))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from attesto.functions import scalars
 from attesto.operators import crossfile, listing, reports, rules
 from attesto.operators.verdicts import emit
-from attesto.plans import listing_queries, rule_queries, state_queries, text_queries, typed_queries  # noqa: F401  they register their queries
+from attesto.plans import listing_queries, rule_queries, state_queries, text_queries, typed_queries, value_queries  # noqa: F401  they register their queries
 from attesto.plans.context import from_orders
 from attesto.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from attesto.sources.tables import table

@@ -40,8 +40,12 @@ NOISE = f"len(list_filter({LINES}, lambda x: length(trim(x, ' ')) BETWEEN 1 AND
 KEYWORDS = " + ".join(f"CASE WHEN contains(lower(t), '{w}') THEN 8 ELSE 0 END" for w in texts.KEYWORDS)
 
 
-@query(f"""SELECT doc_id, CAST(CASE WHEN trim(t, ' ') = '' THEN 0 ELSE len(list_filter({WORDS}, lambda x: length(x) > 1)) + 10 * len(regexp_extract_all(t, '\\d+[.,]\\d{{2}}')) + 5 * len(regexp_extract_all(t, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}[/-]\\d{{2}}[/-]\\d{{4}})\\b'))
-    + 5 * len(list_filter({LINES}, lambda x: starts_with(ltrim(x, ' '), '#'))) + 15 * len(list_filter({LINES}, lambda x: length(x) - length(replace(x, '|', '')) >= 3)) - 5 * {NOISE} END AS INT) AS score,
+#: Score of a recognised text ``t``.
+SCORE = f"""CAST(CASE WHEN trim(t, ' ') = '' THEN 0 ELSE len(list_filter({WORDS}, lambda x: length(x) > 1)) + 10 * len(regexp_extract_all(t, '\\d+[.,]\\d{{2}}')) + 5 * len(regexp_extract_all(t, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}[/-]\\d{{2}}[/-]\\d{{4}})\\b'))
+    + 5 * len(list_filter({LINES}, lambda x: starts_with(ltrim(x, ' '), '#'))) + 15 * len(list_filter({LINES}, lambda x: length(x) - length(replace(x, '|', '')) >= 3)) - 5 * {NOISE} END AS INT)"""
+
+
+@query(f"""SELECT doc_id, {SCORE} AS score,
     CAST(CASE WHEN trim(t, ' ') = '' THEN 0 ELSE 2 * len(list_filter({WORDS}, lambda x: length(x) > 2)) + 5 * len(regexp_extract_all(t, '\\d{{3,}}')) + 8 * len(regexp_extract_all(t, '\\d+[.,]\\d{{2}}')) + {KEYWORDS} + 3 * len(list_filter({LINES}, lambda x: contains(x, ':') AND length(x) > 10)) - 3 * {NOISE} END AS INT) AS balayage,
     round(least(greatest(len({WORDS}) / 300, 0.05), 1.0), 6) AS confiance FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def recognition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +53,11 @@ def recognition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", texts.recognition_score(t).cast("int").alias("score"), texts.scan_score(t).cast("int").alias("balayage"), F.round(texts.text_confidence(F.size(F.split(t, r"\s+"))), 6).alias("confiance"))
 
 
-@query("""SELECT conv_id, arg_max(turn, (length(text) - length(replace(text, ' ', '')), -turn)) AS turn FROM conversations WHERE trim(coalesce(text, ''), ' ') <> '' GROUP BY 1""")
+@query(f"""SELECT conv_id, arg_max(turn, (s, -turn)) AS turn FROM (SELECT conv_id, turn, {SCORE} AS s FROM (SELECT conv_id, turn, text AS t FROM conversations WHERE trim(coalesce(text, ''), ' ') <> '')) GROUP BY 1""")
 def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of several readings (turns): the highest score, the first on ties; here the score is the number of blanks."""
+    """The best of several readings (turns): the highest recognition score, the first on ties."""
     rows = table(spark, sf_dir, "conversations").filter("trim(coalesce(text, '')) <> ''")
-    score = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    score = texts.recognition_score(F.col("text"))
     return rows.groupBy("conv_id").agg(F.max_by("turn", F.struct(score.alias("s"), (-F.col("turn")).alias("t"))).alias("turn"))
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 
 from attesto.functions import scalars
-from attesto.operators import crossfile, duplicates, quality, rules
+from attesto.operators import crossfile, duplicates, lines, quality, rules
 from attesto.operators.verdicts import emit
 from attesto.plans.context import COLUMNS, complete
 from pyspark.sql import functions as F
@@ -151,3 +151,27 @@ def test_the_last_answer_of_a_code_counts(spark):
     rules_ = spark.createDataFrame([(1, "C", "AVERTISSEMENT", True)], "dossier_id int, code string, severity string, applique boolean")
     said = spark.createDataFrame([(1, '{"verdicts":[{"code":"C","statut":"NON_CONFORME"},{"code":"C","statut":"CONFORME","detail":"last"}]}')], "dossier_id int, reponse string")
     assert [(r.statut, r.detail) for r in quality.custom_verdicts(rules_, said).collect()] == [("CONFORME", "last")]
+
+
+def test_names_fold_as_their_decomposition(spark):
+    """Every assigned character of the first three planes: decomposed, marks dropped, lower case, only ASCII letters and digits kept."""
+    import re
+    import unicodedata
+
+    chars = [chr(c) for c in range(0x20, 0x30000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    joined = ["x" + "y".join(chars[i : i + 50]) for i in range(0, len(chars), 50)]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(joined)], "i int, t string").select("i", scalars.normalize_label(F.col("t")).alias("n")).orderBy("i").select("n").collect()]
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not 0x300 <= ord(c) < 0x370)
+    assert got == [re.sub("[^a-z0-9]+", " ", bare(t).lower()).strip() for t in joined]
+
+
+def test_lines_take_codes_first_and_contested_references_once(spark):
+    line = "dossier_id bigint, ligne int, code string, designation string, quantite decimal(15,3), pu decimal(18,2), total decimal(18,2)"
+    own = [(1, 1, None, "pompe immergée bleue", 1, 10, 10), (1, 2, " ab-1 ", "autre chose", 2, 10, 20), (1, 3, None, "pompe immergee", 1, 10, 10), (1, 4, None, "Pompe immergée", 1, 10, 10), (2, 1, "AB1", "x", 1, 1, 1)]
+    refs = [(1, 1, "AB-1", "pompe immergee bleue", 2, 10, 20), (1, 2, None, "POMPE immergée", 1, 11, 10), (1, 3, None, "frais", 1, 1, 1), (2, 1, "AB-1", "y", 1, 1, 1), (2, 2, "ab1", "z", 1, 1, 1)]
+    rows = lambda given: spark.createDataFrame([(*r[:4], *map(dec, r[4:])) for r in given], line)
+    pairs = {(r.dossier_id, r.l): (r.r, r.differe) for r in lines.greedy(lines.candidates(rows(own), rows(refs))).collect()}
+    # line 1 takes reference 1 by its words before line 2 can have it by its code; line 3 takes reference 2, so line 4 finds nothing
+    assert pairs == {(1, 1): (1, True), (1, 3): (2, True), (2, 1): (2, False)}
+    got = {r.dossier_id: (r.statut, r.sans_reference, r.differentes, r.manquantes) for r in lines.line_verdicts(rows(own), rows(refs)).collect()}
+    assert got == {1: ("NON_CONFORME", 2, 2, 1), 2: ("NON_CONFORME", 0, 0, 1)}
