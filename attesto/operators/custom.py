@@ -66,7 +66,7 @@ def compiled(context: DataFrame, rules: list[tuple[str, str, str]]) -> tuple[lis
                 raise ValueError(f"the condition is {kind}, not a truth value")
             good.append(verdict(code, F.when(F.expr(condition).isNotNull(), choose(F.expr(condition), OK, WARN if severity == WARN else KO)), source="CUSTOM"))
         except (AnalysisException, ParseException, ValueError) as error:
-            bad[code] = str(error).split("\n")[0]
+            bad[code] = next((line for line in str(error).splitlines() if line.strip()), type(error).__name__)
     return good, bad
 
 

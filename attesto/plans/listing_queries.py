@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesto.operators import custom, listing
+from attesto.operators import custom, listing, search
 from attesto.plans.registry import query
 from attesto.plans.standins import over, view
+from attesto.sources.buckets import Buckets
+from attesto.sources.scratch import shared_folder
 from attesto.sources.tables import table
 
 _COUNTS = """(SELECT d.*, coalesce(nb_documents, 0) AS nb_documents, coalesce(nb_conformes, 0) AS nb_conformes, coalesce(nb_verdicts, 0) AS nb_verdicts FROM dossiers_ d
@@ -252,3 +256,16 @@ def custom_rules_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def custom_rules_created(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame([("CUSTOM-07",), ("CUSTOM-41",), ("AUTRE-99",)], "code string")
     return custom.created(known, _rules(spark, sf_dir).drop("code", "enabled")).select("demande", "code", "refus", "severity")
+
+
+@query("""
+WITH t AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN]+') AS w, string_split_regex(lower(coalesce(source, '')), '[^\\pL\\pN]+') AS s FROM documents),
+     n AS (SELECT doc_id, list_transform(['the', 'of', 'src1'], lambda q: 10 * len(list_filter(s, lambda x: x = q)) + len(list_filter(w, lambda x: x = q))) AS r FROM t)
+SELECT doc_id, CAST(list_sum(r) AS BIGINT) AS rang FROM n WHERE list_min(r) > 0 ORDER BY rang DESC, doc_id LIMIT 50""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in title and text by an inverted index, which is built in two steps; the query is cut as the texts are."""
+    docs = table(spark, sf_dir, "documents")
+    index = Buckets(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", key="mot")
+    search.add_documents(index, docs.filter("doc_id % 2 = 0"), "doc_id", "source", "text")
+    search.add_documents(index, docs.filter("doc_id % 2 = 1"), "doc_id", "source", "text")
+    return search.search(index, "The, of: (SRC1)!")

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from attesto.sources.scratch import written
 
 
+#: Files of a bucket at most: a key that holds many rows is written by as many tasks.
+FILES = 4
+
+
 class Buckets:
     """A Parquet folder with a subfolder for each bucket of ``key``; there is one writer at a time."""
 
@@ -65,7 +69,7 @@ class Buckets:
             old = self.read(keys)
             new = rows if old is None else old.join(keys, self.key, "left_anti").unionByName(rows, allowMissingColumns=True)
             new = written(new, "buckets").withColumn("seau", self.bucket())
-            new.repartition("seau").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seau").parquet(f"{self.path}/rows")
+            new.repartition("seau", F.pmod(F.xxhash64(*new.columns), F.lit(FILES))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seau").parquet(f"{self.path}/rows")
             kept = set(new.select("seau").distinct().toPandas()["seau"])
             for gone in set(self._of(keys)) - kept:  # buckets that have become empty
                 path, files = self._path(f"rows/seau={gone}")

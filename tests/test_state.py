@@ -6,8 +6,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from attesto.operators import custom, listing
+from attesto.operators import custom, listing, search
 from attesto.sources import tables
+from attesto.sources.buckets import Buckets
 from attesto.streaming import telemetry
 
 
@@ -47,3 +48,16 @@ def test_bad_predicate_rules_say_why_and_stop_nothing(spark):
     assert sorted(bad) == [f"CUSTOM-0{i}" for i in range(3, 8)] and all(bad.values())
     assert {(r.dossier_id, r.regle): r.statut for r in rows.collect()} == {(1, "CUSTOM-01"): "CONFORME", (2, "CUSTOM-01"): "NON_CONFORME", (1, "CUSTOM-02"): "AVERTISSEMENT", (2, "CUSTOM-02"): "CONFORME", (3, "CUSTOM-02"): "CONFORME"}
     assert custom.predicate_verdicts(context, asked[2:3])[0] is None
+
+
+def test_a_search_reads_its_words_buckets_only(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Note de l'eau", "eau et l'Eau potable"), (2, "Autre", "l eau"), (3, None, None), (4, "l'eau", "")], "doc_id bigint, titre string, texte string")
+    index = Buckets(spark, f"{tmp_path}/index", key="mot", buckets=16)
+    search.add_documents(index, docs.filter("doc_id < 3"), "doc_id", "titre", "texte")
+    search.add_documents(index, docs.filter("doc_id > 2"), "doc_id", "titre", "texte")
+    search.add_documents(index, docs.filter("doc_id = 4"), "doc_id", "titre", "texte")  # again
+    found = search.search(index, "l'EAU")
+    assert [(r.doc_id, r.rang) for r in found.collect()] == [(1, 23), (4, 20), (2, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "seau" in plan.split("PartitionFilters")[1][:200]
+    assert search.search(index, "absent eau").count() == 0 and search.search(index, " - ").count() == 0
