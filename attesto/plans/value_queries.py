@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesto.functions import scalars, texts
+from attesto.operators import quality
 from attesto.plans.registry import query
 from attesto.sources.tables import table
 
@@ -90,3 +91,31 @@ def restored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("p", texts.pseudonymize(F.col("t")))
     mails = F.size(F.filter(F.map_keys("p.mapping"), lambda k: k.startswith("[EMAIL_")))
     return rows.select("doc_id", mails.alias("adresses"), (texts.restore(F.col("p.text"), F.col("p.mapping")) == F.col("t")).alias("retabli"))
+
+
+#: Payment orders in JSON: account numbers of 24 digits or fewer, apart by blanks, days in three notations, amounts that are read, negative or missing.
+ORDERED = """SELECT o_orderkey AS document_id, 'ORDRE_PAIEMENT' AS type, '{"RIB":' || CASE o_orderkey % 4 WHEN 0 THEN '"' || lpad(CAST(o_orderkey AS STRING), 24, '7') || '"' WHEN 1 THEN '"007 ' || lpad(CAST(o_orderkey AS STRING), 20, '1') || ' 9"' WHEN 2 THEN '" "' ELSE '"' || CAST(o_orderkey AS STRING) || '"' END
+    || ',"dateEmission":' || CASE o_orderkey % 5 WHEN 0 THEN 'null' WHEN 1 THEN '"hier"' WHEN 2 THEN '"2024/05/06"' ELSE '"' || substr(CAST(o_orderdate AS STRING), 1, 10) || '"' END
+    || ',"montantOperation":' || CASE o_orderkey % 7 WHEN 0 THEN '"-' || CAST(o_orderkey AS STRING) || '"' WHEN 1 THEN '"illisible"' WHEN 2 THEN '""' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) END || '}' AS json FROM orders"""
+
+
+@query(f"""WITH d AS (SELECT document_id, json::JSON AS j FROM ({ORDERED})), v AS (SELECT document_id,
+    [CASE WHEN j->>'$.dateEmission' IS NOT NULL AND TRY_CAST(replace(j->>'$.dateEmission', '/', '-') AS DATE) IS NULL THEN 'dateEmission' END,
+     CASE WHEN trim(j->>'$.montantOperation') <> '' AND coalesce(TRY_CAST(j->>'$.montantOperation' AS DOUBLE) < 0, true) THEN 'montantOperation' END,
+     CASE WHEN trim(j->>'$.RIB') <> '' AND length(regexp_replace(j->>'$.RIB', '[^0-9]', '', 'g')) <> 24 THEN 'rib' END] AS f FROM d)
+    SELECT document_id, array_to_string(list_filter(f, lambda x: x IS NOT NULL), ',') AS violations, f[2] IS NULL AS valide FROM v""")
+def checked_payment_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted payment orders against their schema; a field is found whatever the case of its name."""
+    docs = _run(spark, sf_dir, ORDERED, "orders").withColumn("data", quality.fields(F.col("json")))
+    checked = quality.validate_schema(docs)
+    return checked.select("document_id", F.array_join(F.array_sort("violations"), ",").alias("violations"), "valide")
+
+
+@query(f"""WITH d AS (SELECT document_id, json::JSON AS j FROM ({ORDERED})), f AS (SELECT document_id, regexp_replace(j->>'$.RIB', '[^0-9]', '', 'g') AS a, CASE WHEN document_id % 6 > 0 THEN CASE WHEN document_id % 10 = 3 THEN '1' ELSE '' END || regexp_replace(j->>'$.RIB', '[^0-9]', '', 'g') END AS b FROM d)
+    SELECT document_id, 'rib' AS champ, CASE WHEN b IS NULL THEN 'doute' ELSE 'retire' END AS issue FROM f WHERE b IS NULL OR a <> '' AND b <> '' AND a <> b""")
+def doubted_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account numbers that a second reading gives otherwise, or not at all."""
+    first = _run(spark, sf_dir, ORDERED, "orders").select("document_id", quality.fields(F.col("json")).alias("data"))
+    again = F.when(F.col("document_id") % 6 > 0, F.concat(F.when(F.col("document_id") % 10 == 3, "1").otherwise(""), F.col("data")["rib"]))
+    second = first.select("document_id", F.when(again.isNotNull(), F.create_map(F.lit("rib"), again)).otherwise(F.create_map(F.lit("autre"), F.lit("x"))).alias("data"))
+    return quality.compare_passes(first, second, ["rib"])
