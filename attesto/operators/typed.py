@@ -240,3 +240,21 @@ def with_cached_text(uploads: DataFrame, cache: DataFrame, version: int) -> Data
 def cache_rows(recognised: DataFrame, version: int) -> DataFrame:
     """Rows to add to the cache: one for each content."""
     return recognised.filter("texte is not null").groupBy("sha256").agg(F.min("texte").alias("texte")).withColumn("version", F.lit(version))
+
+
+def fold_cache(cache: DataFrame, uploads: DataFrame, version: int) -> DataFrame:
+    """The cache (sha256, version, texte, hits, dernier) after ``uploads`` (sha256, ts, texte: what recognition gives) in one version.
+
+    An entry of this version is hit by each upload of its content; otherwise the first upload is recognised and stored in its place,
+    and the later ones hit it. Blank texts are never stored, so they hit nothing. Uploads of one content are summed before they meet its entry.
+    """
+    readable = F.coalesce(F.trim("texte") != "", F.lit(False))
+    met = uploads.groupBy("sha256").agg(F.count(F.lit(1)).alias("__n"), F.max("ts").alias("__ts"), F.min_by("texte", F.when(readable, F.col("ts"))).alias("__texte"))
+    out = cache.join(met, "sha256", "full_outer")
+    same, seen = F.coalesce(F.col("version") == version, F.lit(False)), F.col("__n").isNotNull()
+    stored = seen & ~same & F.coalesce(F.trim("__texte") != "", F.lit(False))
+    hits = F.when(stored, F.col("__n") - 1).when(seen & same, F.col("hits") + F.col("__n")).otherwise(F.col("hits"))
+    return out.filter(F.col("version").isNotNull() | stored).select(
+        "sha256", F.when(stored, version).otherwise(F.col("version")).alias("version"), F.when(stored, F.col("__texte")).otherwise(F.col("texte")).alias("texte"), hits.cast("bigint").alias("hits"),
+        F.when(stored | (seen & same), F.col("__ts")).otherwise(F.col("dernier")).alias("dernier"),
+    )

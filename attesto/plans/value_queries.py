@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesto.functions import scalars, texts
-from attesto.operators import quality
+from attesto.operators import quality, typed
 from attesto.plans.registry import query
 from attesto.sources.tables import table
 
@@ -119,3 +119,19 @@ def doubted_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = F.when(F.col("document_id") % 6 > 0, F.concat(F.when(F.col("document_id") % 10 == 3, "1").otherwise(""), F.col("data")["rib"]))
     second = first.select("document_id", F.when(again.isNotNull(), F.create_map(F.lit("rib"), again)).otherwise(F.create_map(F.lit("autre"), F.lit("x"))).alias("data"))
     return quality.compare_passes(first, second, ["rib"])
+
+
+#: Events as uploads: few contents, which come again and again; some read as blank.
+UPLOADED = "SELECT sha256(CAST(user_id % 97 AS STRING)) AS sha256, ts, CASE WHEN user_id % 97 % 10 = 3 THEN ' ' ELSE 'texte ' || CAST(user_id % 97 AS STRING) END AS texte, event_id FROM events"
+
+
+@query(f"""WITH u AS ({UPLOADED}), a AS (SELECT sha256, count(*) FILTER (event_id % 3 = 0) AS a, max(ts) FILTER (event_id % 3 = 0) AS ta, count(*) FILTER (event_id % 3 = 1) AS b, max(ts) FILTER (event_id % 3 = 1) AS tb, count(*) FILTER (event_id % 3 = 2 AND event_id % 2 = 0) AS c,
+        max(ts) FILTER (event_id % 3 = 2 AND event_id % 2 = 0) AS tc, min(texte) AS texte FROM u GROUP BY 1)
+    SELECT sha256, CASE WHEN c > 0 THEN 2 ELSE 1 END AS version, texte, CASE WHEN c > 0 THEN c - 1 ELSE a + b - 1 END AS hits, CASE WHEN c > 0 THEN tc ELSE greatest(coalesce(ta, tb), coalesce(tb, ta)) END AS dernier FROM a WHERE trim(texte) <> '' AND a + b + c > 0""")
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache of recognised texts after two passes in one version and one in the next."""
+    uploads = _run(spark, sf_dir, UPLOADED.replace("sha256(CAST(user_id % 97 AS STRING))", "sha2(CAST(user_id % 97 AS STRING), 256)"), "events")
+    cache = spark.createDataFrame([], "sha256 string, version int, texte string, hits bigint, dernier timestamp")
+    for version, taken in ((1, "event_id % 3 = 0"), (1, "event_id % 3 = 1"), (2, "event_id % 3 = 2 AND event_id % 2 = 0")):
+        cache = typed.fold_cache(cache, uploads.filter(taken), version)
+    return cache
