@@ -22,7 +22,7 @@ PRICES = f"""SELECT k, n, v, w, c, CASE v WHEN 0 THEN {_GROUPED.format(g=' ', d=
 
 
 @query(f"""WITH p AS ({PRICES}), s AS (SELECT *, CASE WHEN v = 4 THEN w::DOUBLE ELSE w + c / 100 END AS x FROM p)
-    SELECT k, n, t, round(CASE WHEN v = 4 THEN TRY_CAST('.' || w AS DOUBLE) ELSE x END, 2) AS souple, CASE WHEN v < 4 THEN round(x, 2) END AS typee, CASE WHEN v = 3 OR v IN (1, 2) AND w < 1000 THEN round(x, 2) END AS engagement FROM s""")
+    SELECT k, n, t, CASE WHEN v = 4 THEN round(CAST('.' || w AS DECIMAL(18,9)), 2)::DOUBLE ELSE round(x, 2) END AS souple, CASE WHEN v < 4 THEN round(x, 2) END AS typee, CASE WHEN v = 3 OR v IN (1, 2) AND w < 1000 THEN round(x, 2) END AS engagement FROM s""")
 def parsed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three grammars of amounts over the same notations."""
     rows, number = _run(spark, sf_dir, PRICES, "lineitem"), lambda c: c.cast("double")
