@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesto.sources.scratch import written
+
 #: Allowed changes of a file's status, rules whose failure forbids validation, rules that rerun with another.
 TRANSITIONS = {"BROUILLON": ["EN_VERIFICATION", "VALIDE", "REJETE"], "EN_VERIFICATION": ["VALIDE", "REJETE", "BROUILLON"], "VALIDE": ["BROUILLON"], "REJETE": ["BROUILLON"]}
 BLOCKING = ("R01", "R04", "R07", "R11", "R16")
 
 
+def numbered(rows: DataFrame, column: str, last: int = 0) -> DataFrame:
+    """``rows`` with ``numero``, counted on from ``last`` in the order of ``column`` (unique).
+
+    Rows are sorted in ranges, each numbered by itself after the counts of the ranges before it; only these counts reach the driver.
+    """
+    ranged = written(rows.repartitionByRange(column).withColumn("__part", F.spark_partition_id()), "numbered")
+    starts, sofar = [], last
+    for part, n in sorted(ranged.groupBy("__part").count().collect()):
+        starts, sofar = [*starts, (part, sofar)], sofar + n
+    starts = rows.sparkSession.createDataFrame(starts, "__part int, __start bigint")
+    out = ranged.join(F.broadcast(starts), "__part").withColumn("numero", F.col("__start") + F.row_number().over(Window.partitionBy("__part").orderBy(column)))
+    return out.drop("__part", "__start")
+
+
 def created(new: DataFrame, year: int, last: int) -> DataFrame:
-    """New files with their reference, numbered on from ``last`` in the order of dossier_id; a batch of new files, not the table."""
-    number = F.row_number().over(Window.orderBy("dossier_id")) + last
-    return new.withColumn("reference", F.format_string(f"DOS-{year}-%05d", number))
+    """New files with their number, on from ``last`` in the order of dossier_id, and the reference that shows its last five digits."""
+    return numbered(new, "dossier_id", last).withColumn("reference", F.format_string(f"DOS-{year}-%05d", F.col("numero") % 100_000))
 
 
 def merged(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:

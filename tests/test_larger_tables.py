@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from attesto.functions import scalars
-from attesto.operators import typed
+from attesto.operators import mutations, typed
+from attesto.plans.catalogue import ORACLE_SQL, QUERIES
 from attesto.plans.context import from_documents
 from attesto.plans.files import stored
+from tests.compare import same
 
 FOLDER = "/root/testdata/sf0.001"
 
 
+@pytest.fixture
+def beyond(spark, tmp_path):
+    """Tables whose keys have seven digits, and more new files than five digits count."""
+    for name in ("supplier", "customer", "lineitem"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    part = spark.read.parquet(f"{FOLDER}/part.parquet")
+    part.unionByName(part.withColumn("p_partkey", (F.col("p_partkey") * 10 + 1_000_000).cast(part.schema["p_partkey"].dataType))).write.parquet(str(tmp_path / "part.parquet"))
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
+    n = -(-110_000 // max(orders.filter("o_orderdate >= '2000-06-01'").count(), 1))
+    more = orders.filter("o_orderdate >= '2000-06-01'").crossJoin(spark.range(n)).withColumn("o_orderkey", (F.col("o_orderkey") + F.col("id") * 1_000_000).cast(orders.schema["o_orderkey"].dataType)).drop("id")
+    more.write.parquet(str(tmp_path / "orders.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["created_dossiers"])
+def test_numbers_of_more_digits(spark, beyond, name):
+    same(spark, beyond, QUERIES[name], ORACLE_SQL[name])
+
+
+def test_files_are_numbered_in_ranges(spark):
+    got = {r.dossier_id: (r.numero, r.reference) for r in mutations.created(spark.range(0, 3000, 3).withColumnRenamed("id", "dossier_id"), 2026, 99_990).collect()}
+    assert [got[k][0] for k in sorted(got)] == list(range(99_991, 100_991)) and got[27][1] == "DOS-2026-00000"
+
+
 def test_context_of_stored_files_shuffles_nothing(spark):
     docs, files = stored(spark, FOLDER)
     plan = from_documents(typed.dossier_rows(docs), files)._jdf.queryExecution().executedPlan().toString()
