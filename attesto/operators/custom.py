@@ -39,9 +39,9 @@ def created(rules: DataFrame, requests: DataFrame) -> DataFrame:
     return out.select("demande", "code", "refus", F.trim("libelle").alias("libelle"), F.trim("prompt").alias("prompt"), F.coalesce(F.nullif("severity", F.lit("")), F.lit(KO)).alias("severity"), "bc", "contractuel")
 
 
-def toggled(rules: DataFrame, changes: DataFrame) -> DataFrame:
-    """The rules after some (code, actif) were switched on or off."""
-    out = rules.join(changes.select("code", "actif"), "code", "left")
+def toggled(rules: DataFrame, changes: DataFrame, key: str = "code") -> DataFrame:
+    """The rules after some (``key``, actif) were switched on or off; ``key`` tells rules apart, and a code of too few digits may not."""
+    out = rules.join(changes.select(key, "actif"), key, "left")
     return out.withColumn("enabled", F.coalesce("actif", "enabled")).drop("actif")
 
 

@@ -246,8 +246,8 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def custom_rules_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of users that are on, by code, after some were switched."""
     rules = _rules(spark, sf_dir)
-    changes = rules.filter("demande % 10 = 3").select("code", (F.col("demande") % 20 == 3).alias("actif"))
-    return custom.listed(custom.toggled(rules, changes), enabled_only=True).select("code", "libelle")
+    changes = rules.filter("demande % 10 = 3").select("demande", (F.col("demande") % 20 == 3).alias("actif"))
+    return custom.listed(custom.toggled(rules, changes, "demande"), enabled_only=True).select("code", "libelle")
 
 
 @query(f"""WITH a AS (SELECT *, CASE WHEN trim(prompt) = '' THEN 'PROMPT' WHEN NOT (bc OR contractuel) THEN 'TYPE' WHEN severity = 'GRAVE' THEN 'SEVERITE' END AS refus FROM ({_CUSTOM})),

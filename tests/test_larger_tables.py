@@ -29,7 +29,7 @@ def beyond(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["created_dossiers"])
+@pytest.mark.parametrize("name", ["created_dossiers", "custom_rules_enabled"])
 def test_numbers_of_more_digits(spark, beyond, name):
     same(spark, beyond, QUERIES[name], ORACLE_SQL[name])
 
