@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from attesto.functions import scalars
 from attesto.operators import mutations, typed
 from attesto.plans.catalogue import ORACLE_SQL, QUERIES
 from attesto.plans.context import from_documents
-from attesto.plans.files import stored
+from attesto.plans.files import stored, whole_files
+from attesto.sources.scratch import discard
 from tests.compare import same
 
 FOLDER = "/root/testdata/sf0.001"
@@ -45,6 +48,15 @@ def test_context_of_stored_files_shuffles_nothing(spark):
     assert "Exchange hashpartitioning" not in plan
 
 
+def test_files_are_made_of_buckets_that_go_when_they_are_used(spark):
+    files, used = whole_files(spark, FOLDER, 3)
+    assert "Exchange hashpartitioning" not in files._jdf.queryExecution().executedPlan().toString()
+    folders = {os.path.dirname(f.removeprefix("file://")) for t in used for f in t.inputFiles()}
+    assert len(folders) == 3 and all(map(os.path.isdir, folders))
+    discard(*used)
+    assert not any(map(os.path.exists, folders))
+
+
 def test_a_value_is_worked_out_once(spark):
     sizes = [len(f(F.col("c"))._jc.toString()) for f in (scalars.parse_amount, scalars.parse_amount_strict)]
     nested = scalars.parse_amount_strict(scalars.parse_amount_strict(F.col("c")).cast("string"))
