@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesto.functions import scalars
@@ -26,13 +26,17 @@ def _prepared(rows: DataFrame, n: str, trim: bool) -> DataFrame:
 def candidates(lines: DataFrame, references: DataFrame) -> DataFrame:
     """(dossier_id, l, r, score, differe): pairs of one file's lines and reference lines; codes that agree whatever the case score 2, else the similarity of the designations above ``ALIKE``."""
     pairs = _prepared(lines, "l", True).join(_prepared(references, "r", False), "dossier_id")
-    both = F.size(F.array_intersect("words_l", "words_r"))
-    union = F.size("words_l") + F.size("words_r") - both
-    alike = F.when((F.col("label_l") == "") | (F.col("label_r") == ""), 0.0).when(F.col("label_l") == F.col("label_r"), 1.0).when(union == 0, 0.0).otherwise(both / union)
+
+    def score(both: Column) -> Column:
+        union = F.size("words_l") + F.size("words_r") - both
+        alike = F.when((F.col("label_l") == "") | (F.col("label_r") == ""), 0.0).when(F.col("label_l") == F.col("label_r"), 1.0).when(union == 0, 0.0).otherwise(both / union)
+        return F.when(F.col("code_l") == F.col("code_r"), 2.0).when(alike > ALIKE, alike)
+
     off = lambda c, limit: F.coalesce(F.abs(F.col(f"{c}_l") - F.col(f"{c}_r")) > limit, F.lit(False))
     price = F.greatest(F.lit(TOLERANCE), F.greatest(F.abs("pu_r"), F.lit(1)).cast("double") * RELATIVE)
     differ = off("quantite", TOLERANCE) | off("pu", price) | off("total", TOLERANCE)
-    scored = pairs.select("dossier_id", "l", "r", F.when(F.col("code_l") == F.col("code_r"), 2.0).when(alike > ALIKE, alike).alias("score"), differ.alias("differe"))
+    once = scalars.once(F.size(F.array_intersect("words_l", "words_r")), score)  # the words of a pair are met once, however often the score names them
+    scored = pairs.select("dossier_id", "l", "r", once.alias("score"), differ.alias("differe"))
     return scored.filter("score is not null")
 
 

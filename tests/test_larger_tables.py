@@ -63,3 +63,12 @@ def test_a_value_is_worked_out_once(spark):
     assert len(nested._jc.toString()) < 3 * sizes[1]
     row = spark.sql("SELECT '1 234,50' AS a, '1.234,50 DH' AS b, '12-5' AS c, CAST(NULL AS STRING) AS d")
     assert [str(x) for x in row.select(*map(scalars.parse_amount_strict, map(F.col, "abcd"))).head()] == ["1234.50", "1234.50", "None", "None"]
+
+
+def _plan(spark, name: str) -> str:
+    return QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_dealt_once(spark):
+    same(spark, FOLDER, QUERIES["rule_lines"], ORACLE_SQL["rule_lines"])
+    assert _plan(spark, "rule_lines").count("Exchange hashpartitioning") <= 3  # of references, which are a union, and of candidates before and after the greedy pass
