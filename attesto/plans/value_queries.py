@@ -61,13 +61,12 @@ def normalized_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT k, autre, round(CASE WHEN l1 = l2 THEN 1 ELSE i / (n - i) END, 6) AS libelles,
            round(CASE WHEN contains(l1, l2) OR contains(l2, l1) THEN 0.80 + 0.15 * least(length(l1), length(l2)) / greatest(length(l1), length(l2)) ELSE 0 END, 6) AS contenu FROM p""")
 def compared_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part's label against those of its next five neighbours."""
-    named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("t"))
-    near = named.select("k", "t", F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.col("k") + i)).alias("autre"))
-    pairs = near.join(named.select(F.col("k").alias("autre"), F.col("t").alias("u")), "autre")
-    return pairs.select(
-        "k", "autre", F.round(scalars.label_similarity(F.col("t"), F.col("u")), 6).alias("libelles"), F.round(scalars.containment_bonus(scalars.normalize_label(F.col("t")), scalars.normalize_label(F.col("u"))), 6).alias("contenu")
-    )
+    """Each part's label against those of its next five neighbours; a label is normalised and cut once, before the pairs are made."""
+    named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), scalars.normalize_label(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("l"))
+    named = named.withColumn("m", scalars.label_words(F.col("l")))
+    near = named.select("k", "l", "m", F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.col("k") + i)).alias("autre"))
+    pairs = near.join(named.select(F.col("k").alias("autre"), F.col("l").alias("l2"), F.col("m").alias("m2")), "autre")
+    return pairs.select("k", "autre", F.round(scalars.labels_alike(*map(F.col, ("l", "m", "l2", "m2"))), 6).alias("libelles"), F.round(scalars.containment_bonus(F.col("l"), F.col("l2")), 6).alias("contenu"))
 
 
 #: Turns as strings of a JSON object inside other text; every fourth object is not closed.

@@ -72,3 +72,9 @@ def _plan(spark, name: str) -> str:
 def test_lines_are_dealt_once(spark):
     same(spark, FOLDER, QUERIES["rule_lines"], ORACLE_SQL["rule_lines"])
     assert _plan(spark, "rule_lines").count("Exchange hashpartitioning") <= 3  # of references, which are a union, and of candidates before and after the greedy pass
+
+
+def test_labels_are_normalised_before_they_are_paired(spark):
+    same(spark, FOLDER, QUERIES["compared_part_names"], ORACLE_SQL["compared_part_names"])
+    plan = QUERIES["compared_part_names"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and "regexp_replace" not in plan.split("Join Inner")[0]
