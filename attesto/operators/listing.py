@@ -87,6 +87,13 @@ def first_by_type(documents: DataFrame) -> DataFrame:
     return each.groupBy("dossier_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "document_id")))).alias("premiers"))
 
 
+def counts_by_type(documents: DataFrame) -> DataFrame:
+    """Per type: documents, distinct fingerprints and files. Files are counted where the documents of a file lie together, and nothing is expanded for the distinct counts."""
+    files = documents.groupBy("type", "dossier_id").agg(F.count(F.lit(1)).alias("n")).groupBy("type").agg(F.sum("n").alias("nb"), F.count("dossier_id").alias("dossiers"))
+    prints = documents.groupBy("type", "empreinte").agg(F.lit(1)).groupBy("type").agg(F.count("empreinte").alias("empreintes"))
+    return files.join(prints.withColumnRenamed("type", "__type"), F.col("type").eqNullSafe(F.col("__type"))).select("type", "nb", "empreintes", "dossiers")
+
+
 def status_counts(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("dossier_id", "statut").agg(F.count(F.lit(1)).alias("nb"))
 

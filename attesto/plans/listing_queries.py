@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesto.operators import custom, listing, search
+from attesto.plans.files import buckets
 from attesto.plans.registry import query
 from attesto.plans.standins import over, view
 from attesto.sources.buckets import Buckets
@@ -67,7 +68,8 @@ def dossier_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(over("SELECT type, count(*) AS nb, count(DISTINCT empreinte) AS empreintes, count(DISTINCT dossier_id) AS dossiers FROM documents_ GROUP BY 1", "documents"))
 def documents_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "documents").groupBy("type").agg(F.count(F.lit(1)).alias("nb"), F.count_distinct("empreinte").alias("empreintes"), F.count_distinct("dossier_id").alias("dossiers"))
+    """Lines are dealt by file into as many partitions as the files need, so that a task's share does not grow with the tables."""
+    return listing.counts_by_type(view(spark, sf_dir, "documents", "l_orderkey", buckets(spark, sf_dir)))
 
 
 @query(over("SELECT dossier_id, statut, count(*) AS nb FROM verdicts_ WHERE NOT starts_with(regle, 'CUSTOM-') GROUP BY ALL", "verdicts"))

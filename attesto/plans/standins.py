@@ -34,12 +34,13 @@ SQL = {
 SOURCES = {"dossiers": ("orders", "customer"), "documents": ("lineitem",), "verdicts": ("lineitem",), "engagements": ("customer",), "usage": ("events",)}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One stand-in relation."""
+def view(spark: SparkSession, sf_dir: str, name: str, by: str | None = None, parts: int = 0) -> DataFrame:
+    """One stand-in relation; with ``by``, its tables are dealt into ``parts`` partitions of that column first."""
     sql = SQL[name]
     for source in SOURCES[name]:
         sql = sql.replace(f"FROM {source}", f"FROM {{{source}}}").replace(f"JOIN {source}", f"JOIN {{{source}}}")
-    return spark.sql(sql, **{source: table(spark, sf_dir, source) for source in SOURCES[name]})
+    sources = {source: table(spark, sf_dir, source) for source in SOURCES[name]}
+    return spark.sql(sql, **{source: df.repartition(parts, by) if by else df for source, df in sources.items()})
 
 
 def over(sql: str, *names: str) -> str:

@@ -69,6 +69,11 @@ def _plan(spark, name: str) -> str:
     return QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_documents_by_type_expand_nothing(spark):
+    same(spark, FOLDER, QUERIES["documents_by_type"], ORACLE_SQL["documents_by_type"])
+    assert "Expand" not in _plan(spark, "documents_by_type")
+
+
 def test_lines_are_dealt_once(spark):
     same(spark, FOLDER, QUERIES["rule_lines"], ORACLE_SQL["rule_lines"])
     assert _plan(spark, "rule_lines").count("Exchange hashpartitioning") <= 3  # of references, which are a union, and of candidates before and after the greedy pass
