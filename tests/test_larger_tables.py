@@ -11,8 +11,9 @@ from attesto.functions import scalars
 from attesto.operators import mutations, typed
 from attesto.plans.catalogue import ORACLE_SQL, QUERIES
 from attesto.plans.context import from_documents
+from attesto.plans import files as standin_files
 from attesto.plans.files import stored, whole_files
-from attesto.sources.scratch import discard
+from attesto.sources.scratch import discard, written_in_turns
 from tests.compare import same
 
 FOLDER = "/root/testdata/sf0.001"
@@ -57,6 +58,20 @@ def test_files_are_made_of_buckets_that_go_when_they_are_used(spark):
     assert not any(map(os.path.exists, folders))
 
 
+def test_rules_of_one_family_write_no_context(spark):
+    folder = FOLDER + "/"  # of no other test
+    same(spark, folder, QUERIES["rules_chronology"], ORACLE_SQL["rules_chronology"])
+    assert (spark.sparkContext.applicationId, folder, "context") not in standin_files._stored
+
+
+def test_turns_hold_every_row_once(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 50).alias("k"), "id")
+    table = written_in_turns((rows.filter(turn) for turn in standin_files.turns("k")), "turns", "k", 3)
+    assert sorted(r.id for r in table.collect()) == list(range(1000)) and table.filter("k is null").count() == 143
+    assert "Exchange" not in table.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    discard(table)
+
+
 def test_a_value_is_worked_out_once(spark):
     sizes = [len(f(F.col("c"))._jc.toString()) for f in (scalars.parse_amount, scalars.parse_amount_strict)]
     nested = scalars.parse_amount_strict(scalars.parse_amount_strict(F.col("c")).cast("string"))
