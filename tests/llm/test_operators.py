@@ -151,6 +151,15 @@ def test_jaccard_groups_near_the_threshold(spark):
     assert got == dict(enumerate(expected))
 
 
+def test_jaccard_guests_without_a_similar_member_are_left_out(spark):
+    """By the numbers of their differences, or by the tokens that they add; a guest that resembles a member stays, also where that is far from the centre."""
+    row = lambda key, home, added, missing: (key, 1, home, 100, 180 * (len(added) + missing) - 2000, list(added), list(range(missing)))
+    rows = [row(1, True, [], 0), row(2, True, range(500, 510), 10), row(5, True, range(1000, 1080), 80), row(3, False, range(2000, 2095), 95), row(6, False, range(1004, 1084), 80), row(7, False, range(3000, 3080), 80)]
+    rows = spark.createDataFrame(rows, "key bigint, grp bigint, home boolean, n bigint, e bigint, added array<bigint>, missing array<bigint>")
+    low = rows.groupBy("grp").agg(F.min(F.struct("e", "key")).alias("low"), F.max("e").alias("high"))
+    assert sorted(r.key for r in jaccard_join._strangers(rows, low, 80).collect()) == [3, 7]
+
+
 @pytest.mark.parametrize("cell", [2048, 8])
 def test_embedding_links_equal_brute_force(spark, monkeypatch, cell):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)  # small: hot cells are cut into blocks
