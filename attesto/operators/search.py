@@ -11,27 +11,33 @@ from attesto.sources.buckets import Buckets
 TITLE, TEXT, BEST = 10, 1, 50
 
 
+#: What separates words.
+APART = r"[^\p{L}\p{N}]+"
+
+
 def words(text: Column) -> Column:
     """The words of a text or a query, repeated ones included: runs of letters and digits, lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), APART), lambda w: w != "")
 
 
 def postings(docs: DataFrame, id_col: str, title: str, text: str) -> DataFrame:
-    """(mot, doc_id, poids): each word of each document with its summed weight. Each text is cut once; counts are summed before the shuffle."""
-    weighed = lambda c, weight: F.transform(words(F.col(c)), lambda w: F.struct(w.alias("mot"), F.lit(weight).alias("poids")))
-    flat = docs.select(F.col(id_col).alias("doc_id"), F.inline(F.concat(weighed(title, TITLE), weighed(text, TEXT))))
+    """(mot, doc_id, poids): each word of each document with its summed weight. Texts are dealt by document and cut once; words are counted where they are cut."""
+    part = lambda c, weight: F.struct(F.lower(F.coalesce(F.col(c), F.lit(""))).alias("texte"), F.lit(weight).alias("poids"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that texts are not put together by their size: their words take more room
+    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(title), F.col(text)).repartition(parts, "doc_id")
+    flat = dealt.select("doc_id", F.inline(F.array(part(title, TITLE), part(text, TEXT)))).select("doc_id", "poids", F.explode(F.split("texte", APART)).alias("mot")).filter("mot <> ''")
     return flat.groupBy("mot", "doc_id").agg(F.sum("poids").alias("poids"))
 
 
 def add_documents(index: Buckets, docs: DataFrame, id_col: str, title: str, text: str) -> None:
-    """Adds documents to an index over ``mot``; buckets of their words are rewritten. A document that is added again counts once, with the words it has now in these buckets."""
-    new = postings(docs, id_col, title, text)
-    keys = new.select("mot").distinct()
-    old = index.read(keys)
-    if old is not None:
-        old = old.join(keys, "mot", "left_semi").join(docs.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_anti")
-        new = new.unionByName(old)
-    index.replace(new, keys)
+    """Adds documents to an index over ``mot``, as a lot of its own; no other lot is read but for its ids, and none is rewritten.
+
+    A document that is added again counts with the words it has now: the lot notes it, and a search leaves out what older lots hold of it.
+    """
+    ids = docs.select(F.col(id_col).alias("doc_id")).distinct()
+    known = index.read_lots("ids")
+    again = ids.limit(0) if known is None else ids.join(known, "doc_id", "left_semi")
+    index.append(postings(docs, id_col, title, text), {"ids": ids, "again": again})
 
 
 def search(index: Buckets, text: str, best: int = BEST) -> DataFrame:
@@ -39,8 +45,10 @@ def search(index: Buckets, text: str, best: int = BEST) -> DataFrame:
     spark = index.spark
     asked = spark.createDataFrame([(text,)], "t string").select(F.explode(F.array_distinct(words(F.col("t")))).alias("mot"))
     wanted = sorted(r.mot for r in asked.collect())  # of one query
-    found = index.read(asked)
+    found = index.read_lots("rows", asked)
     if found is None or not wanted:
         return spark.createDataFrame([], "doc_id bigint, rang bigint")
-    hits = found.filter(F.col("mot").isin(*wanted)).groupBy("doc_id").agg(F.sum("poids").alias("rang"), F.count(F.lit(1)).alias("mots"))
+    again = index.read_lots("again").groupBy("doc_id").agg(F.max("lot").alias("dernier"))
+    found = found.filter(F.col("mot").isin(*wanted)).join(again, "doc_id", "left").filter(F.col("lot") >= F.coalesce("dernier", F.lit(0)))
+    hits = found.groupBy("doc_id").agg(F.sum("poids").alias("rang"), F.count(F.lit(1)).alias("mots"))
     return hits.filter(F.col("mots") == len(wanted)).select("doc_id", "rang").orderBy(F.desc("rang"), "doc_id").limit(best)

@@ -61,3 +61,22 @@ def test_a_search_reads_its_words_buckets_only(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "seau" in plan.split("PartitionFilters")[1][:200]
     assert search.search(index, "absent eau").count() == 0 and search.search(index, " - ").count() == 0
+
+
+def test_added_documents_rewrite_nothing_of_an_index(spark, tmp_path):
+    """What was added before is neither read nor written again; of a document that is added again only its words of now count."""
+    rows = lambda *given: spark.createDataFrame(given, "doc_id bigint, titre string, texte string")
+    index, files = Buckets(spark, f"{tmp_path}/index", key="mot", buckets=4), lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "index").rglob("part-*")}
+    assert search.search(index, "eau").count() == 0
+    search.add_documents(index, rows((1, "eau", "vive"), (2, "", "eau eau"), (2, "eau", None)), "doc_id", "titre", "texte")
+    before = files()
+    search.add_documents(index, rows((3, None, "Eau VIVE"), (1, None, "morte")), "doc_id", "titre", "texte")
+    search.add_documents(index, rows((4, None, " - "), (2, None, None)), "doc_id", "titre", "texte")
+    assert before.items() <= files().items()
+    found = lambda text: [(r.doc_id, r.rang) for r in search.search(index, text).collect()]
+    assert found("eau") == [(3, 1)] and found("vive") == [(3, 1)] and found("morte") == [(1, 1)]
+    search.add_documents(index, rows((2, "eau", "eau eau")), "doc_id", "titre", "texte")
+    (tmp_path / "index/lots/_done/4").rename(tmp_path / "index/gone")  # a writer that failed before the end
+    assert found("eau") == [(3, 1)]
+    search.add_documents(index, rows((5, "eau", "")), "doc_id", "titre", "texte")
+    assert found("eau") == [(5, 10), (3, 1)]
