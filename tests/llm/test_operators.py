@@ -213,6 +213,24 @@ def test_fragments_in_earlier_documents_hide_no_passage(spark):
     assert got == {(3, 2): (30, 120, 0, 1.0), (5, 4): (15, 115, 70, 1.0), (8, 7): (2, 62, 40, 1.0)}
 
 
+@pytest.mark.parametrize("group", [512, 3])
+def test_fuzzy_passages_are_found_whatever_documents_have_their_seeds_first(spark, monkeypatch, group):
+    """Of a passage with a changed word in the middle, each half is first in an earlier document of its own; a line is in all documents."""
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    rng = random.Random(15)
+    text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    line, passage = text(20), text(81)
+    changed = passage[:40] + ["changed"] + passage[41:]
+    rows = [text(9) + passage[:40] + text(60), text(9) + passage[41:] + text(60), text(30) + passage + text(30), text(20) + changed + text(40), text(20) + changed + text(40)]
+    rows += [text(200) for _ in range(8)]
+    rows = [w + text(40) + line + text(40) for w in rows]
+    rows += [rows[3], text(70) + passage[:40] + text(1) + passage[41:]]
+    got = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")).collect()
+    long = {(r.doc_id, r.source_doc_id): (r.start_word, r.end_word, r.source_start) for r in got if r.n_words == 81}
+    assert long[3, 2] == (20, 101, 30) and long[4, 3] == (20, 101, 20) and long[14, 2] == (70, 151, 30)
+    assert all(r.doc_id > r.source_doc_id >= 2 for r in got) and {r.doc_id for r in got} == {3, 4, 13, 14}
+
+
 def test_passages_reach_beyond_their_outer_seeds(spark):
     rng = random.Random(12)
     text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
