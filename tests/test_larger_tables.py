@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import itertools
 import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from attesto.functions import scalars
 from attesto.operators import duplicates, mutations, typed
+from attesto.operators.verdicts import partial_amount_status
 from attesto.plans.catalogue import ORACLE_SQL, QUERIES
 from attesto.plans.context import from_documents
 from attesto.plans import files as standin_files
 from attesto.plans.files import stored, whole_files
+from attesto.plans.rule_queries import _fraction
 from attesto.sources.scratch import discard, written_in_turns
 from tests.compare import same
 
@@ -137,3 +141,15 @@ def test_counted_bands_equal_brute_force(spark):
     got = {r.facture_id: r.n for r in duplicates._by_amount(sound, 1.0, 3).groupBy("facture_id").agg(F.sum("doublons").alias("n")).collect()}
     expected = {a[0]: sum(alike(a, b) for b in rows) for a in rows}
     assert {i: got.get(i, 0) for i in expected} == expected and sum(expected.values()) > 1000
+
+
+def test_fractions_are_compared_as_their_sql_compares_them(spark):
+    """Differences of exactly the tolerance, which decimals and doubles tell apart; the first three are of sixty times sf0.1 with fresh amounts."""
+    orders = [(decimal.Decimal(a), decimal.Decimal(b)) for a, b in (("2743.81", "32926.36"), ("4015.03", "48179.73"), ("2858.69", "34303.62"), ("-1.00", "0.00"))]
+    for whole, n, cents in itertools.product((10000, 98765, 4817973, 31415926, 31415927), (2, 3, 4, 6, 12), (-6, -5, -4, 0, 4, 5, 6)):
+        orders.append((decimal.Decimal(round(whole / n) + cents) / 100, decimal.Decimal(whole) / 100))
+    rows = spark.createDataFrame(orders, "a decimal(18,2), b decimal(18,2)")
+    got = [r.s for r in rows.select(partial_amount_status(F.col("a"), F.col("b")).alias("s")).collect()]
+    values = ", ".join(f"({i}, CAST({a} AS DECIMAL(18,2)), CAST({b} AS DECIMAL(18,2)))" for i, (a, b) in enumerate(orders))
+    expected = [r[0] for r in duckdb.connect().execute(f"SELECT {_fraction('a', 'b')} FROM (VALUES {values}) t(i, a, b) ORDER BY i").fetchall()]
+    assert got == expected and got[:3] == ["NON_CONFORME"] * 3
