@@ -13,10 +13,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesto.functions import scalars
-from attesto.operators import duplicates, mutations, typed
+from attesto.operators import duplicates, mutations, rules, typed
 from attesto.operators.verdicts import partial_amount_status
 from attesto.plans.catalogue import ORACLE_SQL, QUERIES
-from attesto.plans.context import from_documents
+from attesto.plans.context import fields_of, from_documents
 from attesto.plans import files as standin_files
 from attesto.plans.files import stored, whole_files
 from attesto.plans.rule_queries import _fraction
@@ -153,3 +153,18 @@ def test_fractions_are_compared_as_their_sql_compares_them(spark):
     values = ", ".join(f"({i}, CAST({a} AS DECIMAL(18,2)), CAST({b} AS DECIMAL(18,2)))" for i, (a, b) in enumerate(orders))
     expected = [r[0] for r in duckdb.connect().execute(f"SELECT {_fraction('a', 'b')} FROM (VALUES {values}) t(i, a, b) ORDER BY i").fetchall()]
     assert got == expected and got[:3] == ["NON_CONFORME"] * 3
+
+
+def test_a_family_reads_only_what_its_rules_look_at(spark):
+    """No join with other files, no documents of types that no rule of the family reads, and no other columns; the rest of the family is compared with its SQL."""
+    folder = FOLDER + "//"  # of no other test
+    rows = standin_files.context_rows(spark, folder, rules.reads("chronology"))
+    assert set(rows.columns) == {"dossier_id"} | rules.reads("chronology")
+    assert not any("/across-" in f for f in rows.inputFiles()) and any("/lineitem-" in f for f in rows.inputFiles())
+    assert "FACTURE" in fields_of(rules.reads("chronology")) and not {"CHECKLIST_AUTOCONTROLE", "TABLEAU_CONTROLE"} & set(fields_of(rules.reads("chronology")))
+    asked = standin_files.context_rows(spark, folder, rules.reads("engagement"))
+    assert any("/across-" in f for f in asked.inputFiles())
+    docs, files = stored(spark, FOLDER)
+    whole = from_documents(typed.dossier_rows(docs), files)
+    pick = [F.col("dossier_id"), *[F.col(c) for c in sorted(rules.reads("chronology"))]]
+    assert sorted(map(repr, rows.select(pick).collect())) == sorted(map(repr, whole.select(pick).collect()))
