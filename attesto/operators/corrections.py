@@ -35,13 +35,14 @@ def with_corrections(pieces: DataFrame, corrections: DataFrame) -> DataFrame:
     return pieces.join(maps, "document_id", "left")
 
 
-def rerun_files(asked: DataFrame, pieces: DataFrame, corrections: DataFrame, files: DataFrame, old: DataFrame, context_of) -> DataFrame:
+def rerun_files(asked: DataFrame, pieces: DataFrame, corrections: DataFrame, files: DataFrame, old: DataFrame, context_of, fields_of=None) -> DataFrame:
     """The verdicts of the touched files after rules were run again for them; those of other files are not read.
 
     ``asked``: dossier_id, regle, frais (whether fields were corrected along with it); ``pieces``, ``files`` and ``old``: documents, what is
     known of the files, and verdicts with statut_original, of the touched files at least; ``corrections``: all of them. Only rules
     in the scope of an asked one are replaced, and rules outside of it stay as they are. A status that a person set stays on the
-    fresh verdict, unless the rule's data were corrected. ``context_of``: ``plans.context.from_documents``.
+    fresh verdict, unless the rule's data were corrected. ``context_of``: ``plans.context.from_documents``. With
+    ``fields_of`` (of ``plans.context``), only what the rules of the families that run again look at is read; ``pieces`` may lack the rest.
     """
     touched = asked.select("dossier_id").distinct()
     here = lambda df: df.join(F.broadcast(touched) if small else touched, "dossier_id", "left_semi")
@@ -50,8 +51,9 @@ def rerun_files(asked: DataFrame, pieces: DataFrame, corrections: DataFrame, fil
     steps = [(code, other) for code in codes for other in scope_of(code)]
     scope = asked.join(F.broadcast(asked.sparkSession.createDataFrame(steps, "regle string, cible string")), "regle")
     scope = scope.groupBy("dossier_id", F.col("cible").alias("regle")).agg(F.max("frais").alias("frais"))
-    rows = context_of(typed.dossier_rows(with_corrections(here(pieces), corrections)), here(files))
     families = families_of({other for _, other in steps})
+    columns = rules.reads(*families) if fields_of else None
+    rows = context_of(typed.dossier_rows(with_corrections(here(pieces), corrections), fields_of(columns) if fields_of else None), here(files), columns=columns)
     made = emit(rows, [rule for family in families for rule in rules.FAMILIES[family]()])
     fresh = made.join(scope, ["dossier_id", "regle"])
     mine = here(old)

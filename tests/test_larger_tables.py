@@ -168,3 +168,11 @@ def test_a_family_reads_only_what_its_rules_look_at(spark):
     whole = from_documents(typed.dossier_rows(docs), files)
     pick = [F.col("dossier_id"), *[F.col(c) for c in sorted(rules.reads("chronology"))]]
     assert sorted(map(repr, rows.select(pick).collect())) == sorted(map(repr, whole.select(pick).collect()))
+
+
+def test_reruns_make_documents_of_touched_files_only(spark):
+    same(spark, FOLDER, QUERIES["corrected_reruns"], ORACLE_SQL["corrected_reruns"])
+    docs, files = standin_files.some_documents(spark, FOLDER, lambda k: k % 20 < 2, rules.reads("amounts"))
+    assert docs.filter("dossier_id % 20 >= 2").count() == 0 and files.filter("dossier_id % 20 >= 2").count() == 0
+    assert files.count() == spark.read.parquet(f"{FOLDER}/orders.parquet").filter("o_orderkey % 20 < 2").count()
+    assert {r.type for r in docs.select("type").distinct().collect()} == {"FACTURE", "BON_COMMANDE", "CONTRAT_AVENANT", "ORDRE_PAIEMENT", "PV_RECEPTION"}
