@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attesto.llm import bpe, embedding_dedup, exact_dedup, html_text, jaccard_join, language_id, mixing, sharding, substring_dedup, toxicity, wordhash
+from attesto.llm import bpe, embedding_dedup, exact_dedup, html_text, jaccard_join, language_id, mixing, scratch, sharding, substring_dedup, toxicity, wordhash
 from attesto.llm.components import connected_components
 from attesto.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 from tests.compare import same
@@ -347,3 +348,16 @@ def test_long_text_is_hashed_in_pieces(monkeypatch):
     whole = list(wordhash.shingle_sets([text]))
     monkeypatch.setattr(wordhash, "PIECE", 100)
     assert (list(wordhash.shingle_sets([text]))[0] == whole[0]).all() and len(whole[0]) == len(brute_set(text))
+
+
+def test_repeated_passages_leave_only_what_is_read_again(spark):
+    """Matches, seeds, and the first pass' chains and words go before the second pass."""
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join([*(f"o{i}x{j}" for j in range(60)), *words[i : i + 200]])) for i in range(6)], "doc_id bigint, text string")
+    names = lambda folder: sorted(os.listdir(folder))
+    folder = os.path.dirname(scratch.shared_dir(spark, "any").removeprefix("file:"))
+    before = set(names(folder)) if os.path.isdir(folder) else set()
+    got = substring_dedup.repeated_passages(docs)
+    left = sorted(n.split("-")[0] for n in set(names(folder)) - before)
+    assert left == ["chains", "found", "passages"]
+    assert {r.doc_id for r in got.collect()} == {1, 2, 3, 4, 5}
